@@ -70,13 +70,42 @@ def bot_gate(text: Column, markers=tuple(K.BOT_MARKERS)) -> Column:
     return ~lower_contains_any(text, markers)
 
 
+def text_gates(text: Column) -> Column:
+    """F4 and F6 on one text."""
+    return length_gate(text) & bot_gate(text)
+
+
 def passes_filter(df: DataFrame, text_col: str = "filter_text") -> DataFrame:
-    """score gate first (pushed to the scan), then length and bot gates on
-    the cleaned filter text.  Adds ``filter_text``."""
-    out = df.where(score_gate()).withColumn(text_col, filter_text())
-    return out.where(length_gate(F.col(text_col)) & bot_gate(F.col(text_col)))
+    """score gate first (plain column predicate, pushed to the scan), then
+    length and bot gates on the cleaned filter text.  Adds ``filter_text``.
+
+    The cleaned text is bound once: exploding a one-element array that is
+    filtered by the gates yields the row (with its text) or nothing.  A plain
+    ``where`` on a derived column would be pushed below the projection and
+    the optimizer would paste the cleaning chain into every comparison.
+    """
+    kept = F.filter(F.array(filter_text()), text_gates)
+    return df.where(score_gate()).select("*", F.explode(kept).alias(text_col))
+
+
+def main_text_from_filter(filter_col: str = "filter_text", min_selftext: int = K.MIN_SELFTEXT_CHARS) -> Column:
+    """P1 computed from P2 without cleaning again.
+
+    For comments both are ``clean(body)``.  For a post whose stripped
+    selftext has at least ``min_selftext`` code points, P1 is
+    ``clean(title + blank line + stripped selftext)`` and P2 is
+    ``clean(title + space + selftext)``: the inputs differ only in whitespace
+    next to the separator, and no cleaning pattern but the final collapse
+    can match across whitespace, so the results are equal.  Short-selftext
+    posts use the cleaned title.
+    """
+    st = ustrip(_s("selftext"))
+    short_post = _is_post() & (F.length(st) < min_selftext)
+    return F.when(short_post, clean_text(_s("title"))).otherwise(F.col(filter_col))
 
 
 def with_texts(df: DataFrame) -> DataFrame:
-    """P1 + P3 columns ``text`` and ``topic``."""
-    return df.withColumn("text", main_text()).withColumn("topic", topic())
+    """P1 + P3 columns ``text`` and ``topic`` (P1 from ``filter_text`` when
+    the frame has it)."""
+    text = main_text_from_filter() if "filter_text" in df.columns else main_text()
+    return df.withColumn("text", text).withColumn("topic", topic())

@@ -95,28 +95,28 @@ BOT = " OR ".join(f"contains(lower(ftext), {q(m)})" for m in K.BOT_MARKERS)
 
 PASS = f"""{ITEMS},
 scored AS (SELECT *, {FTEXT} AS ftext FROM items WHERE {SCORE_GATE}),
-pass AS (
+pass AS MATERIALIZED (
   SELECT id, ord, type, {MAIN} AS text, {TOPIC} AS topic, ftext
   FROM scored
   WHERE length(ftext) BETWEEN {K.MIN_CHARS} AND {K.MAX_CHARS} AND NOT ({BOT})
 )"""
 
 DEDUP = f"""{PASS},
-texts AS (SELECT text, min(ord) AS rk FROM pass GROUP BY text),
-grams AS (
+texts AS MATERIALIZED (SELECT text, min(ord) AS rk FROM pass GROUP BY text),
+grams AS MATERIALIZED (
   SELECT rk, sz, gram, count(*) AS c FROM (
     SELECT rk, length(lower(text)) - 2 AS sz, substr(lower(text), i, 3) AS gram
     FROM (SELECT rk, text, unnest(range(1, length(lower(text)) - 1)) AS i FROM texts)
   ) GROUP BY rk, sz, gram
 ),
-pairs AS (
+pairs AS MATERIALIZED (
   SELECT a.rk AS rk_a, b.rk AS rk_b, sum(least(a.c, b.c)) AS inter, a.sz AS sz_a, b.sz AS sz_b
   FROM grams a JOIN grams b ON a.gram = b.gram AND a.rk < b.rk
   GROUP BY a.rk, b.rk, a.sz, b.sz
   HAVING 5 * sum(least(a.c, b.c)) > 4 * (a.sz + b.sz - sum(least(a.c, b.c)))
 ),
-nb AS (SELECT rk_b AS rk, list(rk_a) AS earlier FROM pairs GROUP BY rk_b),
-seq AS (
+nb AS MATERIALIZED (SELECT rk_b AS rk, list(rk_a) AS earlier FROM pairs GROUP BY rk_b),
+seq AS MATERIALIZED (
   SELECT t.rk, row_number() OVER (ORDER BY t.rk) AS i, coalesce(nb.earlier, []) AS earlier
   FROM texts t LEFT JOIN nb ON nb.rk = t.rk
 ),
@@ -126,7 +126,7 @@ walk AS (
   SELECT s.i, CASE WHEN list_has_any(w.kept, s.earlier) THEN w.kept ELSE list_append(w.kept, s.rk) END
   FROM walk w JOIN seq s ON s.i = w.i + 1
 ),
-kept AS (SELECT unnest(kept) AS rk FROM (SELECT kept FROM walk ORDER BY i DESC LIMIT 1)),
+kept AS MATERIALIZED (SELECT unnest(kept) AS rk FROM (SELECT kept FROM walk ORDER BY i DESC LIMIT 1)),
 kept_texts AS (SELECT t.text, t.rk FROM texts t JOIN kept k ON k.rk = t.rk),
 deduped AS (SELECT p.* FROM pass p WHERE p.text IN (SELECT text FROM kept_texts))"""
 
