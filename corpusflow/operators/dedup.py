@@ -29,12 +29,13 @@ The plan, all DataFrame code:
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow import constants as K
 from corpusflow.functions.text import char_ngrams
-from corpusflow.session import ensure_checkpoint_dir
+from corpusflow.session import ensure_checkpoint_dir, materialize
 
 # document-frequency tables up to this many rows are broadcast (checked
 # after the table is materialised); above it the lookup is a shuffle join.
@@ -110,9 +111,8 @@ def text_tokens(texts: DataFrame) -> DataFrame:
     return g.withColumn("k", F.row_number().over(w))
 
 
-def _materialize(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint: survives executor loss and cuts lineage."""
-    return df.checkpoint(eager=eager)
+def _materialize(df: DataFrame) -> DataFrame:
+    return materialize(df)
 
 
 def near_dup_pairs(texts: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -125,8 +125,12 @@ def near_dup_pairs(texts: DataFrame, partitions: int | None = None) -> DataFrame
     ensure_checkpoint_dir(spark)
     n_part = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    base = _materialize(texts.select("rk", "text").repartition(n_part, "rk"))
-    tokens = text_tokens(base)
+    base = _materialize(texts.select("rk", "text"))
+    # Only the text table is shuffled (on rk); the per-text windows, the
+    # broadcast df lookup and the per-text arrays below keep that
+    # partitioning, so the token table itself never moves.  Cached, because
+    # it is used three times; lost blocks are recomputed from the checkpoint.
+    tokens = text_tokens(base.repartition(n_part, "rk")).persist(StorageLevel.MEMORY_AND_DISK)
 
     # document frequency per token; partial aggregation keeps hot tokens cheap
     dfreq = _materialize(tokens.groupBy("gram", "k").agg(F.count(F.lit(1)).alias("df")))
@@ -161,9 +165,11 @@ def near_dup_pairs(texts: DataFrame, partitions: int | None = None) -> DataFrame
         .join(tb, "rk_b")
         .select("rk_a", "rk_b", "sz_a", "sz_b", F.size(F.array_intersect("ta", "tb")).alias("inter"))
     )
-    return verified.where(similar(F.col("inter"), F.col("sz_a"), F.col("sz_b"))).select(
+    out = _materialize(verified.where(similar(F.col("inter"), F.col("sz_a"), F.col("sz_b"))).select(
         "rk_a", "rk_b", "inter", "sz_a", "sz_b"
-    )
+    ))
+    tokens.unpersist()
+    return out
 
 
 def first_wins(pairs: DataFrame, max_rounds: int = 10_000) -> DataFrame:

@@ -19,6 +19,7 @@ from corpusflow.operators.counts import stage_counts
 from corpusflow.operators.dedup import dedup
 from corpusflow.operators.quality import passes_filter, with_texts
 from corpusflow.operators.split import split_exact, split_grouped
+from corpusflow.session import materialize
 from corpusflow.sources.readers import split_quarantine
 
 
@@ -43,7 +44,7 @@ def build_corpus(items: DataFrame, synthetic: DataFrame | None = None, system_pr
 
     kept = clean_filter(good)
     # persisted: it feeds the dedup, the stage counts and the formatting
-    kept = kept.select("id", "ord", "text", "topic").checkpoint()
+    kept = materialize(kept.select("id", "ord", "text", "topic"))
     deduped = dedup(kept, "text", "ord", mode=mode)
 
     examples = format_examples(deduped, system_prompt=system_prompt, key="ord", seed=seed).select(

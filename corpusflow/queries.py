@@ -26,7 +26,7 @@ from corpusflow.operators.synth import take_quarantine, take_rows, trim_takes
 from corpusflow.plans.collect import collect_items
 from corpusflow.plans.corpus import build_corpus, clean_filter
 from corpusflow.plans.synthetic import build_synthetic
-from corpusflow.session import ensure_checkpoint_dir, scratch_path
+from corpusflow.session import ensure_checkpoint_dir, materialize, scratch_path
 from corpusflow.sources import tables as TB
 from corpusflow.sources.payloads import explode_comments, explode_listing
 from corpusflow.sources.readers import read_items
@@ -49,7 +49,7 @@ def _passing(spark, sf) -> DataFrame:
 
 
 def _item_examples(spark, sf) -> DataFrame:
-    kept = _passing(spark, sf).select("id", "ord", "text", "topic").checkpoint()
+    kept = materialize(_passing(spark, sf).select("id", "ord", "text", "topic"))
     deduped = D.dedup(kept, "text", "ord", mode="reference")
     return format_examples(deduped, key="ord").select(F.lit("item").alias("origin"), "ord", "messages")
 
@@ -291,23 +291,23 @@ def q_collect_items(spark, sf):
 
 
 def q_near_dup_pairs(spark, sf):
-    texts = D.distinct_texts(_passing(spark, sf)).checkpoint()
+    texts = materialize(D.distinct_texts(_passing(spark, sf)))
     return D.near_dup_pairs(texts)
 
 
 def q_dedup_reference(spark, sf):
-    kept = _passing(spark, sf).select("id", "ord", "text").checkpoint()
+    kept = materialize(_passing(spark, sf).select("id", "ord", "text"))
     return D.dedup(kept, "text", "ord", mode="reference").select("id", "ord")
 
 
 def q_dedup_strict(spark, sf):
-    kept = _passing(spark, sf).select("id", "ord", "text").checkpoint()
+    kept = materialize(_passing(spark, sf).select("id", "ord", "text"))
     return D.dedup(kept, "text", "ord", mode="strict").select("id", "ord")
 
 
 def q_stage_counts(spark, sf):
     items = _items(spark, sf)
-    passing = clean_filter(items).select("id", "ord", "text").checkpoint()
+    passing = materialize(clean_filter(items).select("id", "ord", "text"))
     texts = D.distinct_texts(passing)
     deduped = D.dedup(passing, "text", "ord", mode="reference")
     return stage_counts({"raw": items, "filtered": passing, "distinct_texts": texts, "deduped": deduped})
