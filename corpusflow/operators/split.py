@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from corpusflow import constants as K
 from corpusflow.functions.rand import seeded_bits
+from corpusflow.session import materialize
 
 # rows per bucket the exact split aims for
 ROWS_PER_BUCKET = 2_000_000
@@ -47,7 +48,8 @@ def global_position(df: DataFrame, n: int | None = None, rows_per_bucket: int =
 def split_exact(df: DataFrame, key: Column, seed: int = K.SEED, train_percent: int = K.TRAIN_PERCENT) -> DataFrame:
     """L3 (exact): ``split`` = train for the first ``floor(n*p/100)`` rows in
     seeded order, else val.  Adds ``pos`` and ``split``."""
-    ordered = seeded_order(df, key, seed)
+    # read three times below (count, bucket counts, numbering): materialise once
+    ordered = materialize(seeded_order(df, key, seed))
     n = ordered.count()
     cut = (n * train_percent) // 100
     pos = global_position(ordered, n)
