@@ -206,18 +206,125 @@ def first_wins(pairs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     return out.select(F.col("n").alias("rk"))
 
 
-def kept_texts(df: DataFrame, text_col: str = "text", ord_col: str = "ord") -> DataFrame:
+# members of one prefix-token group each text is compared with per round
+FANOUT = 1000
+
+
+def _prefix_tables(texts: DataFrame, n_part: int) -> tuple[DataFrame, DataFrame]:
+    """Prefix rows ``(rk, sz, gram, k, p)`` and token arrays ``(rk, toks)``."""
+    spark = texts.sparkSession
+    base = _materialize(texts.select("rk", "text"))
+    tokens = text_tokens(base.repartition(n_part, "rk")).persist(StorageLevel.MEMORY_AND_DISK)
+    dfreq = _materialize(tokens.groupBy("gram", "k").agg(F.count(F.lit(1)).alias("df")))
+    lookup = F.broadcast(dfreq) if dfreq.count() <= DF_BROADCAST_MAX_ROWS else dfreq
+    w = Window.partitionBy("rk").orderBy("df", "gram", "k")
+    ranked = tokens.join(lookup, ["gram", "k"]).withColumn("p", F.row_number().over(w))
+    prefix = _materialize(ranked.where(F.col("p") <= prefix_len(F.col("sz"))).select("rk", "sz", "gram", "k", "p"))
+    arrays = _materialize(tokens.groupBy("rk").agg(
+        F.collect_list(F.concat(F.col("gram"), F.col("k").cast("string"))).alias("toks")
+    ))
+    tokens.unpersist()
+    del spark
+    return prefix, arrays
+
+
+def _verified_edges(cand: DataFrame, arrays: DataFrame) -> DataFrame:
+    ta = arrays.select(F.col("rk").alias("rk_a"), F.col("toks").alias("ta"))
+    tb = arrays.select(F.col("rk").alias("rk_b"), F.col("toks").alias("tb"))
+    v = cand.join(ta, "rk_a").join(tb, "rk_b").withColumn("inter", F.size(F.array_intersect("ta", "tb")))
+    return v.where(similar(F.col("inter"), F.col("sz_a"), F.col("sz_b"))).select(
+        F.col("rk_a").alias("a"), F.col("rk_b").alias("b")
+    )
+
+
+def first_wins_bounded(texts: DataFrame, fanout: int = FANOUT, partitions: int | None = None,
+                       max_rounds: int = 100_000) -> DataFrame:
+    """D3 without all pairs of a hot group: the ``rk`` values a first-wins scan drops.
+
+    Per round, within each prefix-token group (texts sharing a prefix token),
+    every undecided member is compared only with the group's first
+    ``fanout`` undecided members.  A text that is among the first ``fanout``
+    of *every* group it belongs to is complete: it was compared with all
+    earlier co-members, and all its later co-members were compared with it.
+    Only complete texts are kept (when every earlier neighbour is dropped);
+    any text similar to a kept text is dropped.  Undecided texts go to the
+    next round.  The smallest undecided text is always complete and kept,
+    so rounds make progress; groups of at most ``fanout`` members are fully
+    resolved in the first round.  A cluster of m near-copies costs
+    ``fanout * m`` comparisons instead of ``m * m``.
+    """
+    spark = texts.sparkSession
+    ensure_checkpoint_dir(spark)
+    n_part = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    prefix, arrays = _prefix_tables(texts, n_part)
+    und = _materialize(prefix.select("rk").distinct())
+    dropped_parts = [und.where(F.lit(False))]
+    rounds = 0
+    while rounds < max_rounds and not und.isEmpty():
+        rounds += 1
+        pu = prefix.join(und, "rk", "left_semi")
+        pu = _materialize(pu.withColumn("r", F.row_number().over(Window.partitionBy("gram", "k").orderBy("rk"))))
+        complete = pu.groupBy("rk").agg(F.max("r").alias("mr")).where(F.col("mr") <= fanout).select("rk")
+        lead = pu.where(F.col("r") <= fanout).select(
+            F.col("rk").alias("rk_a"), F.col("sz").alias("sz_a"), "gram", "k", F.col("p").alias("p_a"))
+        memb = pu.select(F.col("rk").alias("rk_b"), F.col("sz").alias("sz_b"), "gram", "k", F.col("p").alias("p_b"))
+        cand = (
+            lead.join(memb, ["gram", "k"])
+            .where((F.col("rk_a") < F.col("rk_b")) & length_ok(F.col("sz_a"), F.col("sz_b")))
+            .groupBy("rk_a", "rk_b", "sz_a", "sz_b")
+            .agg(F.count(F.lit(1)).alias("c"), F.max("p_a").alias("i"), F.max("p_b").alias("j"))
+        )
+        # exact when it matters: for a complete rk_b, or a complete rk_a, the
+        # leader side holds every shared prefix token, so c counts them all
+        bound = F.col("c") + F.least(F.col("sz_a") - F.col("i"), F.col("sz_b") - F.col("j"))
+        cand = cand.where(similar(bound, F.col("sz_a"), F.col("sz_b"))).select("rk_a", "rk_b", "sz_a", "sz_b")
+        edges = _materialize(_verified_edges(cand, arrays))
+        kept_r, dropped_r = _resolve_round(edges, _materialize(complete))
+        dropped_parts.append(dropped_r)
+        und = _materialize(und.join(kept_r, "rk", "left_anti").join(dropped_r, "rk", "left_anti"))
+    out = dropped_parts[0]
+    for part in dropped_parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _resolve_round(edges: DataFrame, complete: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Keep complete texts whose earlier neighbours are all dropped; drop the
+    later neighbours of kept texts; repeat until nothing changes."""
+    kept = complete.where(F.lit(False))
+    dropped = complete.where(F.lit(False))
+    live = edges
+    while True:
+        blocked = live.select(F.col("b").alias("rk")).distinct()
+        new_kept = _materialize(complete.join(kept, "rk", "left_anti").join(dropped, "rk", "left_anti")
+                                .join(blocked, "rk", "left_anti"))
+        if new_kept.isEmpty():
+            break
+        new_dropped = _materialize(
+            live.join(new_kept.withColumnRenamed("rk", "a"), "a").select(F.col("b").alias("rk")).distinct()
+            .join(dropped, "rk", "left_anti")
+        )
+        kept = _materialize(kept.unionByName(new_kept))
+        dropped = _materialize(dropped.unionByName(new_dropped))
+        # edges out of kept or dropped texts no longer block anyone
+        gone = kept.unionByName(dropped)
+        live = _materialize(live.join(gone.withColumnRenamed("rk", "a"), "a", "left_anti")
+                            .join(gone.withColumnRenamed("rk", "b"), "b", "left_anti"))
+    return kept, dropped
+
+
+def kept_texts(df: DataFrame, text_col: str = "text", ord_col: str = "ord", fanout: int = FANOUT) -> DataFrame:
     """Distinct texts that survive first-wins, with ``rk`` and ``n_rows``."""
     texts = _materialize(distinct_texts(df, text_col, ord_col))
-    pairs = near_dup_pairs(texts)
-    dropped = first_wins(pairs)
+    dropped = first_wins_bounded(texts, fanout=fanout)
     return texts.join(dropped, "rk", "left_anti")
 
 
-def dedup(df: DataFrame, text_col: str = "text", ord_col: str = "ord", mode: str = "reference") -> DataFrame:
+def dedup(df: DataFrame, text_col: str = "text", ord_col: str = "ord", mode: str = "reference",
+          fanout: int = FANOUT) -> DataFrame:
     """D3 + J4.  ``reference``: every row whose text is kept; ``strict``: the
     first row of each kept text."""
-    kept = kept_texts(df, text_col, ord_col)
+    kept = kept_texts(df, text_col, ord_col, fanout)
     if mode == "reference":
         return df.join(kept.select(F.col("text").alias(text_col)), text_col, "left_semi")
     if mode == "strict":

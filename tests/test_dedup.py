@@ -135,3 +135,21 @@ def test_id_first_wins_hot_key(spark):
     plan = D.id_first_wins(df)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
     assert F
+
+
+def test_bounded_fanout_matches_brute_force(spark):
+    # a tiny fan-out forces many rounds and incomplete texts
+    rnd = random.Random(5)
+    base = "abcdefghij klmnopqrst uvwxyz"
+    texts = []
+    for _ in range(60):
+        src = list(rnd.choice(texts) if texts and rnd.random() < 0.7 else base)
+        for _ in range(rnd.randint(0, 3)):
+            src[rnd.randrange(len(src))] = rnd.choice("abcxyz ")
+        texts.append("".join(src))
+    distinct_first = list(dict.fromkeys(texts))
+    kept = set(brute_first_wins(distinct_first))
+    exp = [t for t in texts if t in kept]
+    for fanout in (1, 2, 5):
+        out = D.dedup(frame(spark, texts), "text", "ord", fanout=fanout)
+        assert [r.text for r in out.orderBy("ord").collect()] == exp, fanout
