@@ -237,6 +237,30 @@ def _verified_edges(cand: DataFrame, arrays: DataFrame) -> DataFrame:
     )
 
 
+# rows of one group a single task ranks when picking its first members
+SALT_ROWS = 100_000
+
+
+def first_members(rows: DataFrame, n: int, group=("gram", "k"), order: str = "rk",
+                  rows_per_task: int = SALT_ROWS) -> DataFrame:
+    """The ``n`` smallest ``order`` values of every group, without sending a
+    hot group to one task.
+
+    Group sizes come from a partial aggregate; a group of ``m`` rows is cut
+    into ``ceil(m / rows_per_task)`` salted slices, each slice keeps its first
+    ``n`` rows, and the group's first ``n`` are taken from those survivors.
+    """
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_m"))
+    salts = F.greatest(F.lit(1), F.ceil(F.col("_m") / rows_per_task)).cast("long")
+    salted = rows.join(sizes, list(group)).withColumn("_salt", F.pmod(F.xxhash64(order), salts))
+    salted = salted.repartition(*group, "_salt")
+    w1 = Window.partitionBy(*group, "_salt").orderBy(order)
+    firsts = salted.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= n)
+    w2 = Window.partitionBy(*group).orderBy(order)
+    firsts = firsts.withColumn("_r", F.row_number().over(w2)).where(F.col("_r") <= n)
+    return firsts.drop("_m", "_salt", "_r")
+
+
 def first_wins_bounded(texts: DataFrame, fanout: int = FANOUT, partitions: int | None = None,
                        max_rounds: int = 100_000) -> DataFrame:
     """D3 without all pairs of a hot group: the ``rk`` values a first-wins scan drops.
@@ -263,9 +287,10 @@ def first_wins_bounded(texts: DataFrame, fanout: int = FANOUT, partitions: int |
     while rounds < max_rounds and not und.isEmpty():
         rounds += 1
         pu = prefix.join(und, "rk", "left_semi")
-        pu = _materialize(pu.withColumn("r", F.row_number().over(Window.partitionBy("gram", "k").orderBy("rk"))))
-        complete = pu.groupBy("rk").agg(F.max("r").alias("mr")).where(F.col("mr") <= fanout).select("rk")
-        lead = pu.where(F.col("r") <= fanout).select(
+        flags = first_members(pu.select("rk", "gram", "k"), fanout).withColumn("lead", F.lit(1))
+        pu = _materialize(pu.join(flags, ["rk", "gram", "k"], "left").fillna(0, ["lead"]))
+        complete = pu.groupBy("rk").agg(F.min("lead").alias("all_lead")).where(F.col("all_lead") == 1).select("rk")
+        lead = pu.where(F.col("lead") == 1).select(
             F.col("rk").alias("rk_a"), F.col("sz").alias("sz_a"), "gram", "k", F.col("p").alias("p_a"))
         memb = pu.select(F.col("rk").alias("rk_b"), F.col("sz").alias("sz_b"), "gram", "k", F.col("p").alias("p_b"))
         cand = (

@@ -153,3 +153,10 @@ def test_bounded_fanout_matches_brute_force(spark):
     for fanout in (1, 2, 5):
         out = D.dedup(frame(spark, texts), "text", "ord", fanout=fanout)
         assert [r.text for r in out.orderBy("ord").collect()] == exp, fanout
+
+
+def test_first_members_salted(spark):
+    rows = [("g", 0, r) for r in range(1000, 0, -1)] + [("h", 0, 5), ("h", 0, 3)]
+    df = spark.createDataFrame(rows, "gram string, k int, rk long")
+    got = sorted(tuple(r) for r in D.first_members(df, 3, rows_per_task=50).select("gram", "rk").collect())
+    assert got == [("g", 1), ("g", 2), ("g", 3), ("h", 3), ("h", 5)]
