@@ -24,7 +24,8 @@ from corpusflow.operators.counts import count_by, stage_counts
 from corpusflow.operators.split import seeded_order, split_exact, split_grouped, split_hash
 from corpusflow.operators.synth import take_quarantine, take_rows, trim_takes
 from corpusflow.plans.collect import collect_items
-from corpusflow.plans.corpus import build_corpus, clean_filter
+from corpusflow import schemas as S
+from corpusflow.plans.corpus import build_corpus, clean_filter, write_corpus
 from corpusflow.plans.synthetic import build_synthetic
 from corpusflow.session import ensure_checkpoint_dir, materialize, scratch_path
 from corpusflow.sources import tables as TB
@@ -383,6 +384,22 @@ def q_corpus_build(spark, sf):
     return res.examples.select("origin", "ord", "pos", "split", flatten_messages("messages").alias("messages"))
 
 
+def q_write_splits(spark, sf):
+    """K2: the corpus written as ordered train/val JSONL, read back."""
+    items = _items(spark, sf)
+    synthetic = TB.conversation_examples(TB.table(spark, sf, "conversations")).select(
+        F.col("conv_id").alias("ord"), "messages"
+    )
+    out = scratch_path(spark, "corpus")
+    write_corpus(build_corpus(items, synthetic), out)
+    parts = [
+        spark.read.schema(S.CHAT).json(f"{out}/{name}").select(
+            F.lit(name).alias("split"), flatten_messages("messages").alias("messages"))
+        for name in ("train", "val")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 # ---------------------------------------------------------------------------
 # 2.8 streaming
 # ---------------------------------------------------------------------------
@@ -462,6 +479,7 @@ QUERIES = {
     "split_grouped": q_split_grouped,
     "line_count": q_line_count,
     "corpus_build": q_corpus_build,
+    "write_splits": q_write_splits,
     "stream_new_ids": q_stream_new_ids,
     "stream_completed": q_stream_completed,
 }

@@ -423,6 +423,7 @@ SELECT origin, ord, CASE WHEN {bits('split', 'last_content')} * 100 < {K.TRAIN_P
 FROM keyed"""
     s["line_count"] = f"WITH {EXAMPLES} SELECT split, count(*) AS n FROM split GROUP BY split"
     s["corpus_build"] = f"WITH {EXAMPLES} SELECT origin, ord, pos, split, messages FROM split"
+    s["write_splits"] = f"WITH {EXAMPLES} SELECT split, messages FROM split"
     s["stream_new_ids"] = "SELECT DISTINCT user_id FROM events"
     s["stream_completed"] = "SELECT DISTINCT source || ':' || lang AS label FROM documents"
     # the first-wins walk is a recursive CTE
