@@ -160,3 +160,20 @@ def test_first_members_salted(spark):
     df = spark.createDataFrame(rows, "gram string, k int, rk long")
     got = sorted(tuple(r) for r in D.first_members(df, 3, rows_per_task=50).select("gram", "rk").collect())
     assert got == [("g", 1), ("g", 2), ("g", 3), ("h", 3), ("h", 5)]
+
+
+def test_token_windows_reuse_text_partitioning(spark):
+    # the token table is never shuffled: the only exchange before the
+    # per-text windows is the one on the (small) text table
+    from pyspark.sql import Window
+
+    texts = spark.createDataFrame([(i, f"text number {i} abc") for i in range(50)], "rk long, text string")
+    tokens = D.text_tokens(texts.repartition(8, "rk"))
+    dfreq = tokens.groupBy("gram", "k").agg(F.count(F.lit(1)).alias("df"))
+    ranked = tokens.join(F.broadcast(dfreq), ["gram", "k"]).withColumn(
+        "p", F.row_number().over(Window.partitionBy("rk").orderBy("df", "gram", "k"))
+    )
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    streamed = plan.split("BroadcastExchange")[0]
+    assert streamed.count("Exchange hashpartitioning") == 1
+    assert "Exchange hashpartitioning(rk" in streamed
