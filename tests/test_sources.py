@@ -144,3 +144,17 @@ def test_fallback_on_long_unparseable_text(spark):
     raw = "[\"" + "q" * 50000 + "\" trailing"  # not JSON; one long quoted run
     got = run_takes(spark, [raw + "]"])
     assert got[0][1] == "fallback" and got[0][0] == ["q" * 50000]
+
+
+def test_read_chat_optional_file_and_order(spark, tmp_path):
+    from corpusflow.sources.readers import read_chat
+
+    missing = read_chat(spark, str(tmp_path / "none.jsonl"))
+    assert missing.count() == 0
+    p = tmp_path / "chat.jsonl"
+    ex = [{"messages": [{"role": "system", "content": "s"}, {"role": "user", "content": f"u{i}"},
+                        {"role": "assistant", "content": "a"}]} for i in range(5)]
+    p.write_text("\n".join(json.dumps(e) for e in ex) + "\nnot json\n")
+    df = read_chat(spark, str(p)).orderBy("ord").collect()
+    assert [r.messages[1].content for r in df if r.messages] == [f"u{i}" for i in range(5)]
+    assert df[-1]._corrupt == "not json"
