@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusflow.llm import sql
+from corpusflow.llm.exact_dedup import exact_dedup
 from corpusflow.llm.quality_rules import quality_rules
 
 
@@ -12,15 +13,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 7: the group and the keeper of every document."""
+    out = exact_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 10: figures and verdict of every document."""
     return quality_rules(table(spark, sf_dir, "documents")).drop("covered_words", "longest_repeat")
 
 
 QUERIES = {
+    "op7_exact_dedup": op7_exact_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL = {
+    "op7_exact_dedup": sql.OP7,
     "op10_quality_rules": sql.OP10,
 }
