@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusflow.llm import sql
 from corpusflow.llm.exact_dedup import exact_dedup
+from corpusflow.llm.near_dedup import near_dedup
 from corpusflow.llm.packing import pack
 from corpusflow.llm.quality_rules import quality_rules
+from corpusflow.llm.store import new_folder
 from corpusflow.llm.token_files import read_shards, write_shards
 from corpusflow.llm.tokens import encode_decode
-from corpusflow.session import ensure_checkpoint_dir
 
 #: The byte-level vocabulary: tokenizers file, ranks of the same vocabulary, split pattern.
 BYTE_BPE = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -24,14 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_uri(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared checkpoint folder, as a URI."""
-    base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:/") and not base.startswith("file:///"):
-        base = "file:///" + base[len("file:/"):].lstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 2: BPE by a heap over linked symbols, and back."""
     return encode_decode(table(spark, sf_dir, "documents"), WORD_BPE)
@@ -44,7 +35,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 4: write wavelet-matrix shards, then read every document back."""
-    folder = shared_uri(spark, "token-files")
+    folder = new_folder(spark, "token-files")
     write_shards(table(spark, sf_dir, "documents"), f"{folder}/shards", WORD_BPE).write.parquet(f"{folder}/manifest")
     return read_shards(spark, spark.read.parquet(f"{folder}/manifest"), f"{folder}/shards")
 
@@ -55,6 +46,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 9: the class of near-duplicates of every document."""
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 10: figures and verdict of every document."""
     return quality_rules(table(spark, sf_dir, "documents")).drop("covered_words", "longest_repeat")
@@ -65,6 +61,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_token_files": op4_token_files,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_near_dedup": op9_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
