@@ -20,19 +20,21 @@ columns are untouched.
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.session import ensure_checkpoint_dir
+from corpusflow.llm.store import new_folder, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 STATE = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # many small stores: no preallocated log files
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 LANDED = "doc_id long, rid long, file string, digest string, text_sha256 string"
 
@@ -64,10 +66,7 @@ class DedupState:
             self.digest(normalised(F.col(text_col))).alias("digest"),
             sha256(normalised(F.col(text_col))).alias("text_sha256"),
         ).write.mode("append").parquet(f"{self.path}/landed")
-        old = {k: self.spark.conf.get(k, None) for k in STATE}
-        try:
-            for k, v in STATE.items():
-                self.spark.conf.set(k, v)
+        with self._state_settings():
             (
                 self.spark.readStream.schema(LANDED).parquet(f"{self.path}/landed")
                 .groupBy("digest")
@@ -76,6 +75,14 @@ class DedupState:
                 .option("checkpointLocation", f"{self.path}/state")
                 .trigger(availableNow=True).start().awaitTermination()
             )
+
+    @contextmanager
+    def _state_settings(self) -> Iterator[None]:
+        old = {k: self.spark.conf.get(k, None) for k in STATE}
+        try:
+            for k, v in STATE.items():
+                self.spark.conf.set(k, v)
+            yield
         finally:
             for k, v in old.items():
                 self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
@@ -93,13 +100,14 @@ class DedupState:
         return self.spark.read.schema(LANDED).parquet(f"{self.path}/landed")
 
     def groups(self) -> DataFrame:
-        """The retained state: digest, rows, identifier and locator of the keeper."""
+        """A copy of the retained state: digest, rows, identifier and locator of the keeper."""
         raw = self.spark.read.format("statestore").load(f"{self.path}/state")
         rows, keeper = (F.col("value")[name] for name in raw.schema["value"].dataType.names)
-        return raw.select(
-            F.col("key.digest").alias("digest"), rows.alias("group_size"),
-            keeper["doc_id"].alias("keep_id"), keeper["rid"].alias("keep_rid"), keeper["file"].alias("keep_file"),
-        )
+        with self._state_settings():
+            return stored(raw.select(
+                F.col("key.digest").alias("digest"), rows.alias("group_size"),
+                keeper["doc_id"].alias("keep_id"), keeper["rid"].alias("keep_rid"), keeper["file"].alias("keep_file"),
+            ), "exact-groups")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -107,7 +115,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256,
     and the locator of the keeper (keep_file, keep_rid)."""
     spark = docs.sparkSession
-    base = f"{ensure_checkpoint_dir(spark)}/exact-dedup-{uuid.uuid4().hex}"
+    base = new_folder(spark, "exact-dedup")
     state = DedupState(spark, base, digest)
     state.add(docs, id_col, text_col)
     out = state.landed().join(state.groups(), "digest")
