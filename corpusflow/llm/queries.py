@@ -9,6 +9,7 @@ from corpusflow.llm import sql
 from corpusflow.llm.exact_dedup import exact_dedup
 from corpusflow.llm.near_dedup import near_dedup
 from corpusflow.llm.packing import pack
+from corpusflow.llm.passages import passages
 from corpusflow.llm.quality_rules import quality_rules
 from corpusflow.llm.store import new_folder
 from corpusflow.llm.token_files import read_shards, write_shards
@@ -23,6 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 1: passages that an earlier document holds too."""
+    return passages(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 2: BPE by a heap over linked symbols, and back."""
     return encode_decode(table(spark, sf_dir, "documents"), WORD_BPE)
@@ -57,6 +63,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_passages": op1_passages,
     "op2_bpe": op2_bpe,
     "op3_packing": op3_packing,
     "op4_token_files": op4_token_files,
