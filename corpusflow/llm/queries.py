@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusflow.llm import sql
+from corpusflow.llm.byte_repeats import remove_repeats
 from corpusflow.llm.exact_dedup import exact_dedup
 from corpusflow.llm.near_dedup import near_dedup
 from corpusflow.llm.packing import pack
@@ -52,6 +53,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 8: what is left of every document without repeated 400-byte strings."""
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 9: the class of near-duplicates of every document."""
     return near_dedup(table(spark, sf_dir, "documents"))
@@ -68,6 +74,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_token_files": op4_token_files,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_byte_repeats": op8_byte_repeats,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
