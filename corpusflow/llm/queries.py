@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusflow.llm import sql
 from corpusflow.llm.byte_repeats import remove_repeats
+from corpusflow.llm.conversations import maximal_conversations
 from corpusflow.llm.exact_dedup import exact_dedup
 from corpusflow.llm.near_dedup import near_dedup
 from corpusflow.llm.packing import pack
@@ -47,6 +48,11 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(spark, spark.read.parquet(f"{folder}/manifest"), f"{folder}/shards")
 
 
+def op6_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 6: rendered conversations that are no snapshot of a longer one."""
+    return maximal_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 7: the group and the keeper of every document."""
     out = exact_dedup(table(spark, sf_dir, "documents"))
@@ -73,6 +79,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_packing": op3_packing,
     "op4_token_files": op4_token_files,
+    "op6_conversations": op6_conversations,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_byte_repeats": op8_byte_repeats,
     "op9_near_dedup": op9_near_dedup,
@@ -80,6 +87,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op6_conversations": sql.OP6,
     "op7_exact_dedup": sql.OP7,
     "op10_quality_rules": sql.OP10,
 }

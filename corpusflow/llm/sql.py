@@ -54,3 +54,21 @@ WITH d AS (
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)
 """
+
+#: A conversation's rendered text, every turn closed, prefixes that of another
+#: exactly when its turns do: each turn starts and ends with its delimiters.
+OP6 = """
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM t),
+c AS (
+  SELECT conv_id, list(role || chr(31) || text ORDER BY k) AS ts, count(*) AS n_turns,
+    string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY k) AS body
+  FROM n GROUP BY conv_id
+),
+inner_ AS (SELECT DISTINCT ts[1:k] AS ts FROM c, unnest(range(1, n_turns)) AS r(k)),
+g AS (SELECT ts, min(conv_id) AS conv_id, count(*) AS n_copies FROM c GROUP BY ts)
+SELECT c.conv_id, c.n_turns, g.n_copies, c.body AS text
+FROM g JOIN c USING (conv_id) WHERE g.ts NOT IN (SELECT ts FROM inner_)
+"""
