@@ -9,6 +9,7 @@ from corpusflow.llm import sql
 from corpusflow.llm.byte_repeats import remove_repeats
 from corpusflow.llm.conversations import maximal_conversations
 from corpusflow.llm.exact_dedup import exact_dedup
+from corpusflow.llm.language_id import held_out, identify, training_sample
 from corpusflow.llm.near_dedup import near_dedup
 from corpusflow.llm.packing import pack
 from corpusflow.llm.passages import passages
@@ -48,6 +49,14 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(spark, spark.read.parquet(f"{folder}/manifest"), f"{folder}/shards")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 5: the language of every document, learnt outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    samples = training_sample(docs.where(~held_out()), "text", "lang")
+    out = identify(docs, samples)
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "phrases")
+
+
 def op6_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 6: rendered conversations that are no snapshot of a longer one."""
     return maximal_conversations(table(spark, sf_dir, "conversations"))
@@ -79,6 +88,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_packing": op3_packing,
     "op4_token_files": op4_token_files,
+    "op5_language_id": op5_language_id,
     "op6_conversations": op6_conversations,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_byte_repeats": op8_byte_repeats,
