@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.store import stored
+from corpusflow.llm.store import row_keyed, stored
 from corpusflow.llm.words import Block, U, blocks, mix
 
 LENGTH, WINDOW, GRAM = 400, 128, 8
@@ -206,6 +206,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    window: int = WINDOW, with_text: bool = False) -> DataFrame:
     """Per document: n_bytes, n_removed, n_spans and kept_sha256; with ``with_text``
     also the bytes that are kept."""
+    keyed, key = row_keyed(docs.select(id_col, text_col), id_col)
+    out = _remove_repeats(keyed, key, text_col, length, window, with_text)
+    if key != id_col:
+        names = keyed.select(F.col(key).alias("row"), F.col(id_col).alias("name"))
+        out = out.join(names, F.col("doc_id") == F.col("row")).select(F.col("name").alias("doc_id"), *out.columns[1:])
+    return out
+
+
+def _remove_repeats(docs: DataFrame, id_col: str, text_col: str, length: int, window: int, with_text: bool) -> DataFrame:
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -216,7 +225,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     per_doc = found.groupBy(F.col("doc_id").alias("_id")).agg(
         F.collect_list(F.when(F.col("sure"), F.struct("lo", "n"))).alias("sure"),
         F.collect_list(F.when(~F.col("sure"), F.struct("lo", "n"))).alias("edges"))
-    joined = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(
+    joined = docs.join(per_doc, F.col("doc_id") == F.col("_id"), "left").select(
         "doc_id", "text", "sure", F.when(F.size("edges") > 0, F.col("edges")).alias("edges"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,5 +255,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = stored(joined, "repeat-texts")
     edges = stored(_twice(edge_strings(joined, length)).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("lo").alias("more")), "repeat-edges")
     plain = joined.where("edges is null").select("doc_id", "text", "sure").mapInArrow(finish, columns)
-    open_ = joined.where("edges is not null").join(edges, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "sure", "more")
+    open_ = joined.where("edges is not null").join(edges, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "sure", "more")
     return plain.unionByName(open_.mapInArrow(finish, columns))

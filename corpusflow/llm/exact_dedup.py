@@ -26,7 +26,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm.store import new_folder, stored
+from corpusflow.llm.store import fresh, new_folder, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 STATE = {
@@ -152,10 +152,11 @@ def _by_text(out: DataFrame, docs: DataFrame, collided: DataFrame, id_col: str,
 def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns."""
     decided = exact_dedup(docs, id_col, text_col)
-    kept = decided.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    keyed = docs.withColumn("_own_sha", sha256(normalised(F.col(text_col))))
-    same = (F.col("_own_sha") == F.col("_sha")) & F.col(id_col).cast("long").eqNullSafe(F.col("_id"))
+    own, sha, name = fresh(docs, "own_sha"), fresh(docs, "kept_sha"), fresh(docs, "kept_id")
+    kept = decided.where("kept").select(F.col("doc_id").alias(name), F.col("text_sha256").alias(sha))
+    keyed = docs.withColumn(own, sha256(normalised(F.col(text_col))))
+    same = (F.col(own) == F.col(sha)) & F.col(id_col).cast("long").eqNullSafe(F.col(name))
     out = keyed.join(kept, same, "left_semi")
-    if not docs.groupBy(id_col).count().where("count > 1").isEmpty():
-        out = out.dropDuplicates([id_col, "_own_sha"])  # rows that repeat identifier and text
+    if not docs.groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        out = out.dropDuplicates([id_col, own])  # rows that repeat identifier and text
     return out.select(*docs.columns)

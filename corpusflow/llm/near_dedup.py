@@ -16,8 +16,9 @@ so no candidate pair of different texts stays unseen; a large group of near
 copies costs one link per member.  Classes are the connected components.
 
 Defined results: a null or empty text, or one without words, is a class of its
-own; ties keep the smallest identifier; rows that repeat identifier and text
-get equal rows; an empty table gives an empty table.
+own; ties keep the smallest identifier; where identifiers are missing or
+repeat, every row is a document (of equal identifiers the row stored first
+stays); an empty table gives an empty table; other columns never matter.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.store import components, stored
+from corpusflow.llm.store import components, fresh, row_keyed, stored
 from corpusflow.llm.words import Block, U, blocks, mix
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -219,7 +220,7 @@ def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, id_col: str, te
     sent = docs.sparkSession.sparkContext.broadcast(idf)
     nodes = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(nodes, "doc_id")
-    texts = stored(texts.dropDuplicates(["doc_id"]) if _repeats(docs, id_col) else texts, "near-texts")
+    texts = stored(texts, "near-texts")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
 
@@ -233,10 +234,6 @@ def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, id_col: str, te
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, f"a {kind}, b {kind}, similarity double")
 
 
-def _repeats(docs: DataFrame, id_col: str) -> bool:
-    return not docs.groupBy(id_col).count().where("count > 1").isEmpty()
-
-
 def _bounded(pairs: DataFrame) -> DataFrame:
     """Pairs whose weights allow the similarity (min / max is an upper bound)."""
     return pairs.where(F.least("wa", "wb") >= SIMILARITY * (1 - 1e-6) * F.greatest("wa", "wb")).select(
@@ -246,6 +243,19 @@ def _bounded(pairs: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id (the smallest of the class),
     class_size, n_links (verified links of its words to other texts), kept."""
+    keyed, key = row_keyed(docs.select(id_col, text_col), id_col)
+    out = _near_dedup(keyed, key, text_col)
+    if key != id_col:
+        names = keyed.select(F.col(key).alias("row"), F.col(id_col).alias("name"))
+        named = out.join(names, F.col("doc_id") == F.col("row"))
+        best = named.groupBy(F.col("class_id").alias("c")).agg(F.min(F.struct(F.col("name").isNull(), "name", "row")).alias("m"))
+        out = named.join(best, F.col("class_id") == F.col("c")).select(
+            F.col("name").alias("doc_id"), F.col("m.name").alias("class_id"), "class_size", "n_links",
+            (F.col("row") == F.col("m.row")).alias("kept"))
+    return out
+
+
+def _near_dedup(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     idf = inverse_frequency(document_frequency(docs, text_col))
     sig = stored(signatures(docs, idf, id_col, text_col), "near-signatures")
     reps = stored(
@@ -288,6 +298,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def keep_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each class (the smallest identifier), with all columns."""
-    out = near_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(out, docs[id_col].eqNullSafe(out["_id"]), "left_semi")
-    return kept.dropDuplicates([id_col, text_col]) if _repeats(docs, id_col) else kept
+    columns = docs.columns
+    docs, key = row_keyed(docs, id_col)
+    own = fresh(docs, "kept_id")
+    if key == id_col:
+        kept = near_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(own))
+    else:  # rows stand for themselves; the smallest identifier of a class is found by name
+        out = _near_dedup(docs.select(key, text_col), key, text_col)
+        names = docs.select(F.col(key).alias("row"), F.col(id_col).alias("name"))
+        named = out.join(names, F.col("doc_id") == F.col("row"))
+        kept = named.groupBy("class_id").agg(F.min(F.struct(F.col("name").isNull(), "name", "row"))["row"].alias(own)).select(own)
+    return docs.join(kept, F.col(key) == F.col(own), "left_semi").select(*columns)

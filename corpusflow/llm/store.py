@@ -26,6 +26,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def row_keyed(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """``docs`` with a column that tells its rows apart: the identifier itself,
+    or, where identifiers are missing or repeat, a row number in a written copy."""
+    odd = docs.groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR id IS NULL")
+    if odd.isEmpty():
+        return docs, id_col
+    row = fresh(docs, "row")
+    return stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links(a, b)``: (node, root), root the smallest node.
 
