@@ -1,9 +1,9 @@
 """Near-duplicate documents by consistent weighted sampling (operator 9).
 
 Shingles are five words (ASCII case folded); a text of one to four words is
-one shingle.  A shingle's weight is its count times the logarithm of N over its
-document frequency, counted over all documents in a fixed table of hashed
-buckets.  Improved consistent weighted sampling (Ioffe, 2010) draws ``SAMPLES``
+one shingle.  A shingle's weight is its count times 1 plus a share of its
+inverse document frequency, counted over all documents in a fixed table of
+hashed buckets.  Improved consistent weighted sampling (Ioffe, 2010) draws ``SAMPLES``
 shingle-and-level pairs per text so that two texts agree on each with
 probability equal to their weighted Jaccard similarity; ``BANDS`` bands of
 ``SAMPLES / BANDS`` draws are the blocking keys.
@@ -37,6 +37,9 @@ from corpusflow.llm.words import Block, U, blocks, mix
 
 SHINGLE, SIMILARITY = 5, 0.8
 SAMPLES, BANDS = 30, 10
+#: Share of the inverse frequency in a weight.  A larger share would make the few
+#: words in which the members of a very large group differ outweigh all they share.
+IDF_PART = 0.25
 #: Document-frequency buckets (a fixed table of 2^20 counts, whatever the input).
 DF_BITS = 20
 _SLICE = 4096
@@ -106,7 +109,10 @@ def document_frequency(docs: DataFrame, text_col: str) -> np.ndarray:
 
 
 def inverse_frequency(df: np.ndarray) -> np.ndarray:
-    return np.log1p(df[-1] / np.maximum(df[:-1], 1)).astype(np.float32)
+    """Weight of one occurrence by bucket: 1 for a shingle of all documents,
+    1 + IDF_PART for one of a single document."""
+    n = max(int(df[-1]), 1)
+    return (1 + IDF_PART * np.log1p(n / np.maximum(df[:-1], 1)) / np.log1p(n)).astype(np.float32)
 
 
 def _gamma2_quantiles() -> np.ndarray:
