@@ -6,41 +6,41 @@ with an earlier *kept* text is strictly above 4/5; afterwards every row
 whose text is kept survives, so exact copies of a kept text all stay
 (``mode='reference'``).  ``mode='strict'`` keeps one row per kept text.
 
-The plan, all DataFrame code:
+The plan:
 
 1. Distinct texts with ``rk`` = first appearance (``min(ord)``).  A group of
    exact copies collapses in the map-side partial aggregate, so a text
    copied a billion times costs one row per input partition.
-2. Tokens: the trigram multiset becomes a set by numbering repeats,
-   ``(gram, k)``; weighted Jaccard equals set Jaccard on tokens.  Texts are
-   hash-partitioned on ``rk`` once; every per-text window afterwards reuses
-   that partitioning (no further exchange).
-3. Prefix filter (PPJoin): tokens ordered by ascending document frequency;
-   a text of ``sz`` tokens joins on its first ``sz - floor(4 sz / 5)``
-   tokens.  Any pair above the threshold shares one of them.  Length filter
-   ``5 min > 4 max``; positional bound ``c + min(sz_a - i, sz_b - j)``
-   prunes the rest exactly.
-4. Exact verification on token arrays: ``size(array_intersect)``.
-5. Resolution: lexicographically-first maximal independent set on the
-   (small) edge list, in rounds: an undecided text with no undecided
-   earlier neighbour is kept, its later neighbours are dropped.  Each round
-   is checkpointed to the shared checkpoint folder.
+2. Tokens: the trigram multiset becomes a set by numbering repeats; weighted
+   Jaccard equals set Jaccard on tokens.  A task computes the tokens of its
+   texts with numpy; only prefix tokens ever become rows.
+3. Candidates (PPJoin's filters, all lossless): tokens in ascending document
+   frequency (counted over all texts in a fixed table of hashed buckets: any
+   fixed order of tokens is valid, a good one is selective); a text of ``sz``
+   tokens offers its first ``sz - floor(4 sz / 5)``; the length band (by
+   powers of 5/4) is part of the join key, so texts outside the length filter
+   never meet; and of the tokens a pair shares, the first leaves room for the
+   needed overlap, ``9 (1 + min(sz_a - p_a, sz_b - p_b)) > 4 (sz_a + sz_b)``.
+4. Exact verification on packed trigrams.
+5. Resolution: lexicographically-first maximal independent set, in rounds: a
+   text with no undecided earlier neighbour is kept, its later neighbours are
+   dropped.  Decisions are appended to a table in the shared folder; rounds go
+   on until every text is decided.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow import constants as K
+from corpusflow.functions.grams import common_grams, packed_grams, token_names
 from corpusflow.functions.text import char_ngrams
-from corpusflow.session import ensure_checkpoint_dir, materialize
-
-# document-frequency tables up to this many rows are broadcast (checked
-# after the table is materialised); above it the lookup is a shuffle join.
-DF_BROADCAST_MAX_ROWS = 2_000_000
-
+from corpusflow.session import ensure_checkpoint_dir, materialize, scratch_path
 
 # ---------------------------------------------------------------------------
 # threshold helpers (integer form, no float or decimal literal differences)
@@ -98,150 +98,129 @@ def distinct_texts(df: DataFrame, text_col: str = "text", ord_col: str = "ord")
     )
 
 
-def text_tokens(texts: DataFrame) -> DataFrame:
-    """``(rk, sz, gram, k, pos)`` for every trigram of every text.
+#: Buckets of the document-frequency table: a fixed size, whatever the input.
+DF_BITS = 18
 
-    ``texts`` should be hash-partitioned on ``rk`` (see :func:`near_dup_pairs`);
-    the repeat numbering window then runs without an exchange.
-    """
-    low = texts.select("rk", F.lower("text").alias("low"))
-    low = low.withColumn("sz", F.greatest(F.length("low") - (K.NGRAM - 1), F.lit(0)).cast("long"))
-    g = low.select("rk", "sz", F.posexplode(char_ngrams(F.col("low"))).alias("pos", "gram"))
-    w = Window.partitionBy("rk", "gram").orderBy("pos")
-    return g.withColumn("k", F.row_number().over(w))
 
+def _lowered(texts: DataFrame) -> DataFrame:
+    return texts.select("rk", F.lower("text").alias("low"))
 
-def _materialize(df: DataFrame) -> DataFrame:
-    return materialize(df)
 
+def token_frequency(low: DataFrame) -> np.ndarray:
+    """Texts per hashed token bucket, counted over all texts."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << DF_BITS, dtype=np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                np.add.at(total, (token_names(packed_grams(text.as_py())) >> np.uint64(64 - DF_BITS)).astype(np.int64), 1)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["bucket", "n"])
 
-def near_dup_pairs(texts: DataFrame, partitions: int | None = None) -> DataFrame:
-    """J3 + D2: all pairs ``rk_a < rk_b`` of distinct texts with Jaccard > 4/5.
-
-    ``texts`` has columns ``rk`` (unique, orderable) and ``text``.
-    Returns ``rk_a, rk_b, inter, sz_a, sz_b``.
-    """
-    spark = texts.sparkSession
-    ensure_checkpoint_dir(spark)
-    n_part = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    base = _materialize(texts.select("rk", "text"))
-    # Only the text table is shuffled (on rk); the per-text windows, the
-    # broadcast df lookup and the per-text arrays below keep that
-    # partitioning, so the token table itself never moves.  Cached, because
-    # it is used three times; lost blocks are recomputed from the checkpoint.
-    tokens = text_tokens(base.repartition(n_part, "rk")).persist(StorageLevel.MEMORY_AND_DISK)
-
-    # document frequency per token; partial aggregation keeps hot tokens cheap
-    dfreq = _materialize(tokens.groupBy("gram", "k").agg(F.count(F.lit(1)).alias("df")))
-    n_tokens = dfreq.count()
-    lookup = F.broadcast(dfreq) if n_tokens <= DF_BROADCAST_MAX_ROWS else dfreq
-
-    ranked = tokens.join(lookup, ["gram", "k"])
-    # global token order: (df, gram, k); position of each token inside its text
-    w = Window.partitionBy("rk").orderBy("df", "gram", "k")
-    ranked = ranked.withColumn("p", F.row_number().over(w))
-    prefix = ranked.where(F.col("p") <= prefix_len(F.col("sz"))).select("rk", "sz", "gram", "k", "p")
-
-    a = prefix.select(F.col("rk").alias("rk_a"), F.col("sz").alias("sz_a"), "gram", "k", F.col("p").alias("p_a"))
-    b = prefix.select(F.col("rk").alias("rk_b"), F.col("sz").alias("sz_b"), "gram", "k", F.col("p").alias("p_b"))
-    cand = (
-        a.join(b, ["gram", "k"])
-        .where((F.col("rk_a") < F.col("rk_b")) & length_ok(F.col("sz_a"), F.col("sz_b")))
-        .groupBy("rk_a", "rk_b", "sz_a", "sz_b")
-        .agg(F.count(F.lit(1)).alias("c"), F.max("p_a").alias("i"), F.max("p_b").alias("j"))
-    )
-    bound = F.col("c") + F.least(F.col("sz_a") - F.col("i"), F.col("sz_b") - F.col("j"))
-    cand = cand.where(similar(bound, F.col("sz_a"), F.col("sz_b"))).select("rk_a", "rk_b", "sz_a", "sz_b")
-
-    # exact verification on token arrays (tokens are unique within a text)
-    arrays = tokens.groupBy("rk").agg(
-        F.collect_list(F.concat(F.col("gram"), F.col("k").cast("string"))).alias("toks")
-    )
-    ta = arrays.select(F.col("rk").alias("rk_a"), F.col("toks").alias("ta"))
-    tb = arrays.select(F.col("rk").alias("rk_b"), F.col("toks").alias("tb"))
-    verified = (
-        cand.join(ta, "rk_a")
-        .join(tb, "rk_b")
-        .select("rk_a", "rk_b", "sz_a", "sz_b", F.size(F.array_intersect("ta", "tb")).alias("inter"))
-    )
-    out = _materialize(verified.where(similar(F.col("inter"), F.col("sz_a"), F.col("sz_b"))).select(
-        "rk_a", "rk_b", "inter", "sz_a", "sz_b"
-    ))
-    tokens.unpersist()
+    out = np.zeros(1 << DF_BITS, dtype=np.int64)
+    rows = low.select("low").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    for r in rows.collect():  # at most 2^DF_BITS rows
+        out[r.bucket] = r.n
     return out
 
 
-def first_wins(pairs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """D3 resolution: the ``rk`` values dropped by a first-wins scan.
+def prefix_rows(low: DataFrame) -> DataFrame:
+    """``(rk, sz, band, up, tok, p)``: the prefix tokens of every text, once in
+    its own length band and once (``up``) in the next longer one."""
+    sent = low.sparkSession.sparkContext.broadcast(token_frequency(low))  # a fixed table
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        freq = sent.value
+        for batch in batches:
+            cols: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            for rk, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                tok = token_names(packed_grams(text.as_py()))
+                sz = len(tok)
+                n = sz - K.JACCARD_NUM * sz // K.JACCARD_DEN
+                if not n:
+                    continue
+                order = np.lexsort((tok, freq[(tok >> np.uint64(64 - DF_BITS)).astype(np.int64)]))[:n]
+                band = int(np.floor(np.log(sz) / np.log(K.JACCARD_DEN / K.JACCARD_NUM)))
+                for up in (False, True):
+                    for col, x in zip(cols, (np.full(n, rk), np.full(n, sz), np.full(n, band + up), np.full(n, up),
+                                             tok[order].view(np.int64), np.arange(1, n + 1))):
+                        col.append(x)
+            if cols[0]:
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(c), t) for c, t in zip(cols, types)], ["rk", "sz", "band", "up", "tok", "p"])
+
+    return low.mapInArrow(run, "rk long, sz long, band int, up boolean, tok long, p long")
+
+
+def _candidates(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Pairs ``rk_a < rk_b`` of two sets of prefix rows that can be similar."""
+    a = first.select(*[F.col(c).alias(f"{c}_a") for c in ("rk", "sz", "band", "up", "tok", "p")])
+    b = second.select(*[F.col(c).alias(f"{c}_b") for c in ("rk", "sz", "band", "up", "tok", "p")])
+    room = 1 + F.least(F.col("sz_a") - F.col("p_a"), F.col("sz_b") - F.col("p_b"))
+    need = (K.JACCARD_DEN + K.JACCARD_NUM) * room > K.JACCARD_NUM * (F.col("sz_a") + F.col("sz_b"))
+    on = (
+        (F.col("band_a") == F.col("band_b")) & (F.col("tok_a") == F.col("tok_b")) & (F.col("rk_a") < F.col("rk_b"))
+        & ~(F.col("up_a") & F.col("up_b")) & length_ok(F.col("sz_a"), F.col("sz_b")) & need
+    )
+    return a.join(b, on).select("rk_a", "rk_b").distinct()
+
+
+def _verified(pairs: DataFrame, low: DataFrame) -> DataFrame:
+    """The pairs above the threshold: ``rk_a, rk_b, inter, sz_a, sz_b``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names: dict[int, np.ndarray] = {}  # of this batch: a text is in many pairs
+
+            def tokens(rk: int, text: pa.Scalar) -> np.ndarray:
+                if rk not in names:
+                    names[rk] = np.sort(token_names(packed_grams(text.as_py())))
+                return names[rk]
+
+            keep, inter, sa, sb = [], [], [], []
+            rows = zip(batch.column("rk_a").to_pylist(), batch.column("rk_b").to_pylist(), batch.column("low_a"), batch.column("low_b"))
+            for k, (ra, rb, ta, tb) in enumerate(rows):
+                x, y = tokens(ra, ta), tokens(rb, tb)
+                both = np.sort(np.concatenate([x, y]), kind="stable")  # a merge of two runs
+                need = K.JACCARD_NUM * (len(x) + len(y))
+                if (K.JACCARD_DEN + K.JACCARD_NUM) * int((both[1:] == both[:-1]).sum()) <= need:
+                    continue  # equal tokens have equal names, so the count is not too small
+                n = common_grams(packed_grams(ta.as_py()), packed_grams(tb.as_py()))
+                if (K.JACCARD_DEN + K.JACCARD_NUM) * n > need:
+                    keep.append(k)
+                    inter.append(n)
+                    sa.append(len(x))
+                    sb.append(len(y))
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("rk_a").take(at), batch.column("rk_b").take(at), *[pa.array(c, pa.int64()) for c in (inter, sa, sb)]],
+                ["rk_a", "rk_b", "inter", "sz_a", "sz_b"])
+
+    ta = low.select(F.col("rk").alias("rk_a"), F.col("low").alias("low_a"))
+    tb = low.select(F.col("rk").alias("rk_b"), F.col("low").alias("low_b"))
+    both = pairs.join(ta, "rk_a").join(tb, "rk_b").select("rk_a", "rk_b", "low_a", "low_b")
+    return both.mapInArrow(run, "rk_a long, rk_b long, inter long, sz_a long, sz_b long")
+
+
+def near_dup_pairs(texts: DataFrame) -> DataFrame:
+    """J3 + D2: all pairs ``rk_a < rk_b`` of distinct texts with Jaccard > 4/5.
 
-    ``pairs`` holds edges ``rk_a < rk_b``.  Rounds: sources with no undecided
-    earlier neighbour are kept; their later neighbours are dropped; edges
-    touching decided texts go.  The smallest undecided text is always kept,
-    so every round makes progress.
+    ``texts`` has columns ``rk`` (unique long) and ``text``.
+    Returns ``rk_a, rk_b, inter, sz_a, sz_b``.
     """
-    spark = pairs.sparkSession
-    ensure_checkpoint_dir(spark)
-    edges = _materialize(pairs.select(F.col("rk_a").alias("a"), F.col("rk_b").alias("b")).distinct())
-    dropped_parts: list[DataFrame] = [edges.select(F.col("b").alias("n")).where(F.lit(False))]
-    rounds = 0
-    while rounds < max_rounds:
-        if edges.isEmpty():
-            break
-        rounds += 1
-        targets = edges.select(F.col("b").alias("n")).distinct()
-        kept = edges.select(F.col("a").alias("n")).distinct().join(targets, "n", "left_anti")
-        newly_dropped = _materialize(
-            edges.join(kept.withColumnRenamed("n", "a"), "a").select(F.col("b").alias("n")).distinct()
-        )
-        decided = kept.unionByName(newly_dropped)
-        dropped_parts.append(newly_dropped)
-        edges = _materialize(
-            edges.join(decided.withColumnRenamed("n", "a"), "a", "left_anti")
-            .join(decided.withColumnRenamed("n", "b"), "b", "left_anti")
-        )
-    out = dropped_parts[0]
-    for part in dropped_parts[1:]:
-        out = out.unionByName(part)
-    return out.select(F.col("n").alias("rk"))
+    low = materialize(_lowered(texts))
+    rows = materialize(prefix_rows(low))
+    return materialize(_verified(materialize(_candidates(rows, rows)), low))
 
 
 # members of one prefix-token group each text is compared with per round
 FANOUT = 1000
 
 
-def _prefix_tables(texts: DataFrame, n_part: int) -> tuple[DataFrame, DataFrame]:
-    """Prefix rows ``(rk, sz, gram, k, p)`` and token arrays ``(rk, toks)``."""
-    spark = texts.sparkSession
-    base = _materialize(texts.select("rk", "text"))
-    tokens = text_tokens(base.repartition(n_part, "rk")).persist(StorageLevel.MEMORY_AND_DISK)
-    dfreq = _materialize(tokens.groupBy("gram", "k").agg(F.count(F.lit(1)).alias("df")))
-    lookup = F.broadcast(dfreq) if dfreq.count() <= DF_BROADCAST_MAX_ROWS else dfreq
-    w = Window.partitionBy("rk").orderBy("df", "gram", "k")
-    ranked = tokens.join(lookup, ["gram", "k"]).withColumn("p", F.row_number().over(w))
-    prefix = _materialize(ranked.where(F.col("p") <= prefix_len(F.col("sz"))).select("rk", "sz", "gram", "k", "p"))
-    arrays = _materialize(tokens.groupBy("rk").agg(
-        F.collect_list(F.concat(F.col("gram"), F.col("k").cast("string"))).alias("toks")
-    ))
-    tokens.unpersist()
-    del spark
-    return prefix, arrays
-
-
-def _verified_edges(cand: DataFrame, arrays: DataFrame) -> DataFrame:
-    ta = arrays.select(F.col("rk").alias("rk_a"), F.col("toks").alias("ta"))
-    tb = arrays.select(F.col("rk").alias("rk_b"), F.col("toks").alias("tb"))
-    v = cand.join(ta, "rk_a").join(tb, "rk_b").withColumn("inter", F.size(F.array_intersect("ta", "tb")))
-    return v.where(similar(F.col("inter"), F.col("sz_a"), F.col("sz_b"))).select(
-        F.col("rk_a").alias("a"), F.col("rk_b").alias("b")
-    )
-
-
 # rows of one group a single task ranks when picking its first members
 SALT_ROWS = 100_000
 
 
-def first_members(rows: DataFrame, n: int, group=("gram", "k"), order: str = "rk",
+def first_members(rows: DataFrame, n: int, group=("band", "tok"), order: str = "rk",
                   rows_per_task: int = SALT_ROWS) -> DataFrame:
     """The ``n`` smallest ``order`` values of every group, without sending a
     hot group to one task.
@@ -261,86 +240,68 @@ def first_members(rows: DataFrame, n: int, group=("gram", "k"), order: str = "rk
     return firsts.drop("_m", "_salt", "_r")
 
 
-def first_wins_bounded(texts: DataFrame, fanout: int = FANOUT, partitions: int | None = None,
-                       max_rounds: int = 100_000) -> DataFrame:
+def first_wins_bounded(texts: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """D3 without all pairs of a hot group: the ``rk`` values a first-wins scan drops.
 
-    Per round, within each prefix-token group (texts sharing a prefix token),
-    every undecided member is compared only with the group's first
+    Per round, within each group (texts of a length band sharing a prefix
+    token), every undecided member is compared only with the group's first
     ``fanout`` undecided members.  A text that is among the first ``fanout``
     of *every* group it belongs to is complete: it was compared with all
     earlier co-members, and all its later co-members were compared with it.
     Only complete texts are kept (when every earlier neighbour is dropped);
     any text similar to a kept text is dropped.  Undecided texts go to the
-    next round.  The smallest undecided text is always complete and kept,
-    so rounds make progress; groups of at most ``fanout`` members are fully
-    resolved in the first round.  A cluster of m near-copies costs
+    next round.  The smallest undecided text is always complete and kept, so
+    every round decides something; groups of at most ``fanout`` members are
+    settled in the first round.  A cluster of m near-copies costs
     ``fanout * m`` comparisons instead of ``m * m``.
     """
     spark = texts.sparkSession
     ensure_checkpoint_dir(spark)
-    n_part = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    prefix, arrays = _prefix_tables(texts, n_part)
-    und = _materialize(prefix.select("rk").distinct())
-    dropped_parts = [und.where(F.lit(False))]
-    rounds = 0
-    while rounds < max_rounds and not und.isEmpty():
-        rounds += 1
-        pu = prefix.join(und, "rk", "left_semi")
-        flags = first_members(pu.select("rk", "gram", "k"), fanout).withColumn("lead", F.lit(1))
-        pu = _materialize(pu.join(flags, ["rk", "gram", "k"], "left").fillna(0, ["lead"]))
-        complete = pu.groupBy("rk").agg(F.min("lead").alias("all_lead")).where(F.col("all_lead") == 1).select("rk")
-        lead = pu.where(F.col("lead") == 1).select(
-            F.col("rk").alias("rk_a"), F.col("sz").alias("sz_a"), "gram", "k", F.col("p").alias("p_a"))
-        memb = pu.select(F.col("rk").alias("rk_b"), F.col("sz").alias("sz_b"), "gram", "k", F.col("p").alias("p_b"))
-        cand = (
-            lead.join(memb, ["gram", "k"])
-            .where((F.col("rk_a") < F.col("rk_b")) & length_ok(F.col("sz_a"), F.col("sz_b")))
-            .groupBy("rk_a", "rk_b", "sz_a", "sz_b")
-            .agg(F.count(F.lit(1)).alias("c"), F.max("p_a").alias("i"), F.max("p_b").alias("j"))
-        )
-        # exact when it matters: for a complete rk_b, or a complete rk_a, the
-        # leader side holds every shared prefix token, so c counts them all
-        bound = F.col("c") + F.least(F.col("sz_a") - F.col("i"), F.col("sz_b") - F.col("j"))
-        cand = cand.where(similar(bound, F.col("sz_a"), F.col("sz_b"))).select("rk_a", "rk_b", "sz_a", "sz_b")
-        edges = _materialize(_verified_edges(cand, arrays))
-        kept_r, dropped_r = _resolve_round(edges, _materialize(complete))
-        dropped_parts.append(dropped_r)
-        und = _materialize(und.join(kept_r, "rk", "left_anti").join(dropped_r, "rk", "left_anti"))
-    out = dropped_parts[0]
-    for part in dropped_parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _resolve_round(edges: DataFrame, complete: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Keep complete texts whose earlier neighbours are all dropped; drop the
-    later neighbours of kept texts; repeat until nothing changes."""
-    kept = complete.where(F.lit(False))
-    dropped = complete.where(F.lit(False))
-    live = edges
+    low = materialize(_lowered(texts))
+    prefix = materialize(prefix_rows(low))
+    und = materialize(prefix.select("rk").distinct())
+    decided = scratch_path(spark, "first-wins")
+    left = und.count()
+    while left:
+        pu = materialize(prefix.join(und, "rk", "left_semi"))
+        flags = first_members(pu.select("rk", "band", "tok"), fanout).withColumn("lead", F.lit(True))
+        marked = materialize(pu.join(flags, ["rk", "band", "tok"], "left"))
+        complete = marked.groupBy("rk").agg(F.bool_and(F.coalesce("lead", F.lit(False))).alias("all_lead")).where("all_lead").select("rk")
+        pairs = _candidates(marked.where("lead").drop("lead"), marked.drop("lead"))
+        edges = _verified(materialize(pairs), low).select(F.col("rk_a").alias("a"), F.col("rk_b").alias("b"))
+        _resolve_round(materialize(edges), materialize(complete), decided)
+        und = materialize(und.join(spark.read.parquet(decided), "rk", "left_anti"))
+        before, left = left, und.count()
+        if left == before:
+            raise RuntimeError("a round of the first-wins scan decided nothing")
+    if not prefix.isEmpty():
+        return spark.read.parquet(decided).where(~F.col("kept")).select("rk")
+    return und.select("rk")
+
+
+def _resolve_round(edges: DataFrame, complete: DataFrame, decided: str) -> None:
+    """Keep complete texts whose earlier neighbours are all dropped and drop
+    the later neighbours of kept texts, until nothing changes.  Each step
+    appends what it decides, ``(rk, kept)``, to the table ``decided``."""
+    live, open_ = edges, complete
     while True:
         blocked = live.select(F.col("b").alias("rk")).distinct()
-        new_kept = _materialize(complete.join(kept, "rk", "left_anti").join(dropped, "rk", "left_anti")
-                                .join(blocked, "rk", "left_anti"))
-        if new_kept.isEmpty():
-            break
-        new_dropped = _materialize(
-            live.join(new_kept.withColumnRenamed("rk", "a"), "a").select(F.col("b").alias("rk")).distinct()
-            .join(dropped, "rk", "left_anti")
-        )
-        kept = _materialize(kept.unionByName(new_kept))
-        dropped = _materialize(dropped.unionByName(new_dropped))
+        kept = materialize(open_.join(blocked, "rk", "left_anti"))
+        if kept.isEmpty():
+            return
+        dropped = live.join(kept.withColumnRenamed("rk", "a"), "a").select(F.col("b").alias("rk")).distinct()
+        new = materialize(kept.withColumn("kept", F.lit(True)).unionByName(dropped.withColumn("kept", F.lit(False))))
+        new.write.mode("append").parquet(decided)
+        gone = new.select("rk")
+        open_ = materialize(open_.join(gone, "rk", "left_anti"))
         # edges out of kept or dropped texts no longer block anyone
-        gone = kept.unionByName(dropped)
-        live = _materialize(live.join(gone.withColumnRenamed("rk", "a"), "a", "left_anti")
-                            .join(gone.withColumnRenamed("rk", "b"), "b", "left_anti"))
-    return kept, dropped
+        live = materialize(live.join(gone.withColumnRenamed("rk", "a"), "a", "left_anti")
+                           .join(gone.withColumnRenamed("rk", "b"), "b", "left_anti"))
 
 
 def kept_texts(df: DataFrame, text_col: str = "text", ord_col: str = "ord", fanout: int = FANOUT) -> DataFrame:
     """Distinct texts that survive first-wins, with ``rk`` and ``n_rows``."""
-    texts = _materialize(distinct_texts(df, text_col, ord_col))
+    texts = materialize(distinct_texts(df, text_col, ord_col))
     dropped = first_wins_bounded(texts, fanout=fanout)
     return texts.join(dropped, "rk", "left_anti")
 
@@ -360,10 +321,9 @@ def dedup(df: DataFrame, text_col: str = "text", ord_col: str = "ord", mode: str
 def id_first_wins(df: DataFrame, id_col: str = "id", ord_col: str = "ord") -> DataFrame:
     """The first row (by ``ord``) of every id.
 
-    ``min_by`` over a struct aggregates partially on the map side, so one id
-    holding a third of all rows is reduced per partition before the shuffle
-    (a row_number window would send that id to a single task).
+    ``row_number() = 1`` lets Spark add a group limit before the exchange, so
+    an id holding a third of all rows sends one row per task (a ``min_by`` over
+    a struct would plan as a sort of whole rows).
     """
-    cols = [c for c in df.columns if c != id_col]
-    first = df.groupBy(id_col).agg(F.min_by(F.struct(*cols), F.col(ord_col)).alias("_r"))
-    return first.select(id_col, *[F.col("_r")[c].alias(c) for c in cols]).select(*df.columns)
+    w = Window.partitionBy(id_col).orderBy(ord_col)
+    return df.withColumn("_first", F.row_number().over(w)).where(F.col("_first") == 1).drop("_first")

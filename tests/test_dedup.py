@@ -1,34 +1,47 @@
 """Near-duplicate removal against a brute-force first-wins scan (D1..D4)."""
 
+import collections
 import random
-from collections import Counter
+from fractions import Fraction
 
-from pyspark.sql import functions as F
+import pytest
 
 from corpusflow.operators import dedup as D
 
 
-def tri(s):
-    s = s.lower()
-    return Counter(s[i:i + 3] for i in range(len(s) - 2))
+def numbered(text):
+    """Tokens of a text: every trigram with the number of its repeat."""
+    seen, out = {}, set()
+    low = text.lower()
+    for k in range(2, len(low)):
+        gram = low[k - 2] + low[k - 1] + low[k]
+        seen[gram] = seen.get(gram, 0) + 1
+        out.add((gram, seen[gram]))
+    return out
 
 
-def jaccard(a, b):
-    ta, tb = tri(a), tri(b)
-    if not ta or not tb:
-        return 0.0
-    inter = sum((ta & tb).values())
-    return inter / sum((ta | tb).values())
+def similarity(x, y):
+    """Weighted trigram Jaccard as an exact fraction; 0 without trigrams."""
+    p, q = numbered(x), numbered(y)
+    return Fraction(len(p & q), len(p | q)) if p and q else Fraction(0)
 
 
-def brute_first_wins(texts):
-    """Sequential scan: drop a text near an earlier kept text."""
-    kept = []
-    for t in texts:
-        if not any(5 * sum((tri(t) & tri(k)).values()) > 4 * sum((tri(t) | tri(k)).values())
-                   for k in kept if tri(t) and tri(k)):
-            kept.append(t)
-    return kept
+def alike_pairs(texts):
+    """Index pairs (i, j), i < j, above the threshold."""
+    return {(i, j) for j in range(len(texts)) for i in range(j) if similarity(texts[i], texts[j]) > Fraction(4, 5)}
+
+
+def survivors(texts):
+    """Distinct texts in order of appearance that no surviving earlier one resembles."""
+    texts = list(dict.fromkeys(texts))
+    earlier = collections.defaultdict(set)
+    for i, j in alike_pairs(texts):
+        earlier[j].add(i)
+    alive = set()
+    for j in range(len(texts)):
+        if not earlier[j] & alive:
+            alive.add(j)
+    return {texts[j] for j in alive}
 
 
 def frame(spark, texts):
@@ -44,13 +57,13 @@ def test_jaccard_expression_matches_python(spark):
     pairs = [("abcdef", "abcdeg"), ("aaaa", "aaa"), ("ab", "abc"), ("Hello World", "hello world!"), ("", "abc")]
     df = spark.createDataFrame(pairs, "a string, b string")
     got = [r[0] for r in df.select(D.trigram_jaccard("a", "b")).collect()]
-    exp = [jaccard(a, b) for a, b in pairs]
+    exp = [float(similarity(a, b)) for a, b in pairs]
     assert [round(g, 12) for g in got] == [round(e, 12) for e in exp]
 
 
 def test_multiset_differs_from_set(spark):
     # "aaaa" has trigram "aaa" twice, "aaa" once: multiset 1/2, set 1/1
-    assert jaccard("aaaa", "aaa") == 0.5
+    assert similarity("aaaa", "aaa") == Fraction(1, 2)
     assert kept_by_spark(spark, ["aaaa", "aaa"]) == ["aaaa", "aaa"]
 
 
@@ -58,12 +71,11 @@ def test_threshold_is_strict(spark):
     # 10 trigrams each; inter 9 -> 9/11 > 0.8 dropped; find an exactly-0.8 pair
     a = "abcdefghijkl"
     b = "abcdefghijkX"
-    assert jaccard(a, b) == 9 / 11
+    assert similarity(a, b) == Fraction(9, 11)
     assert kept_by_spark(spark, [a, b]) == [a]
     # inter 8, union 10 -> exactly 0.8: kept
     c, d = "abcdefghijk", "abcdefghijx"
-    x, y = tri(c), tri(d)
-    assert sum((x & y).values()) / sum((x | y).values()) == 0.8
+    assert similarity(c, d) == Fraction(4, 5)
     assert kept_by_spark(spark, [c, d]) == [c, d]
 
 
@@ -72,7 +84,7 @@ def test_chain_is_first_wins_not_components(spark):
     a = base
     b = base.replace("lazy", "lazz")
     c = b.replace("quick", "quicc")
-    assert jaccard(a, b) > 0.8 and jaccard(b, c) > 0.8 and jaccard(a, c) <= 0.8
+    assert min(similarity(a, b), similarity(b, c)) > Fraction(4, 5) >= similarity(a, c)
     assert kept_by_spark(spark, [a, b, c]) == [a, c]
 
 
@@ -99,11 +111,7 @@ def test_random_against_brute_force(spark):
             texts.append("".join(src))
         else:
             texts.append(" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 9))))
-    distinct_first = []
-    for t in texts:
-        if t not in distinct_first:
-            distinct_first.append(t)
-    kept = set(brute_first_wins(distinct_first))
+    kept = survivors(texts)
     exp = [t for t in texts if t in kept]
     assert kept_by_spark(spark, texts) == exp
 
@@ -113,17 +121,24 @@ def test_pairs_independent_of_partitioning(spark):
     texts = ["".join(rnd.choice("abcab ") for _ in range(rnd.randint(3, 30))) for _ in range(80)]
     texts = list(dict.fromkeys(texts))
     base = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "rk long, text string")
-    results = []
     for n in (1, 2, 8):
-        p = D.near_dup_pairs(base.repartition(n), partitions=n)
-        results.append(sorted((r.rk_a, r.rk_b, r.inter) for r in p.collect()))
-    assert results[0] == results[1] == results[2]
-    exp = sorted(
-        (i, j) for i in range(len(texts)) for j in range(i + 1, len(texts))
-        if tri(texts[i]) and tri(texts[j])
-        and 5 * sum((tri(texts[i]) & tri(texts[j])).values()) > 4 * sum((tri(texts[i]) | tri(texts[j])).values())
-    )
-    assert [(a, b) for a, b, _ in results[0]] == exp
+        p = D.near_dup_pairs(base.repartition(n)).collect()
+        assert {(r.rk_a, r.rk_b) for r in p} == alike_pairs(texts)
+        for r in p:
+            x, y = numbered(texts[r.rk_a]), numbered(texts[r.rk_b])
+            assert (r.inter, r.sz_a, r.sz_b) == (len(x & y), len(x), len(y))
+
+
+@pytest.mark.parametrize("a,b,value", [
+    ("abcde", "abcdf", Fraction(2, 4)),          # abc bcd | cde cdf
+    ("ABCDE", "abcde", Fraction(1)),
+    ("abab", "ababab", Fraction(2, 4)),          # aba bab against both twice
+    ("\U0001F600bc", "\U0001F600bd", Fraction(0)),
+])
+def test_golden_pairs(spark, a, b, value):
+    assert similarity(a, b) == value
+    df = spark.createDataFrame([(a, b)], "a string, b string")
+    assert df.select(D.trigram_jaccard("a", "b")).first()[0] == float(value)
 
 
 def test_id_first_wins_hot_key(spark):
@@ -131,10 +146,9 @@ def test_id_first_wins_hot_key(spark):
     df = spark.createDataFrame(rows, "id string, ord long, v string")
     got = sorted(tuple(r) for r in D.id_first_wins(df).collect())
     assert got == [("cold", 7, "c"), ("hot", 1, "v1")]
-    # partial aggregation, not a window over the hot id
+    # the hot id is cut to one row per task before the exchange
     plan = D.id_first_wins(df)._jdf.queryExecution().executedPlan().toString()
-    assert "Window" not in plan
-    assert F
+    assert "WindowGroupLimit" in plan.split("Exchange")[-1]
 
 
 def test_bounded_fanout_matches_brute_force(spark):
@@ -147,8 +161,7 @@ def test_bounded_fanout_matches_brute_force(spark):
         for _ in range(rnd.randint(0, 3)):
             src[rnd.randrange(len(src))] = rnd.choice("abcxyz ")
         texts.append("".join(src))
-    distinct_first = list(dict.fromkeys(texts))
-    kept = set(brute_first_wins(distinct_first))
+    kept = survivors(texts)
     exp = [t for t in texts if t in kept]
     for fanout in (1, 2, 5):
         out = D.dedup(frame(spark, texts), "text", "ord", fanout=fanout)
@@ -158,22 +171,41 @@ def test_bounded_fanout_matches_brute_force(spark):
 def test_first_members_salted(spark):
     rows = [("g", 0, r) for r in range(1000, 0, -1)] + [("h", 0, 5), ("h", 0, 3)]
     df = spark.createDataFrame(rows, "gram string, k int, rk long")
-    got = sorted(tuple(r) for r in D.first_members(df, 3, rows_per_task=50).select("gram", "rk").collect())
+    got = sorted(tuple(r) for r in D.first_members(df, 3, group=("gram", "k"), rows_per_task=50).select("gram", "rk").collect())
     assert got == [("g", 1), ("g", 2), ("g", 3), ("h", 3), ("h", 5)]
 
 
-def test_token_windows_reuse_text_partitioning(spark):
-    # the token table is never shuffled: the only exchange before the
-    # per-text windows is the one on the (small) text table
-    from pyspark.sql import Window
-
-    texts = spark.createDataFrame([(i, f"text number {i} abc") for i in range(50)], "rk long, text string")
-    tokens = D.text_tokens(texts.repartition(8, "rk"))
-    dfreq = tokens.groupBy("gram", "k").agg(F.count(F.lit(1)).alias("df"))
-    ranked = tokens.join(F.broadcast(dfreq), ["gram", "k"]).withColumn(
-        "p", F.row_number().over(Window.partitionBy("rk").orderBy("df", "gram", "k"))
-    )
-    plan = ranked._jdf.queryExecution().executedPlan().toString()
-    streamed = plan.split("BroadcastExchange")[0]
-    assert streamed.count("Exchange hashpartitioning") == 1
-    assert "Exchange hashpartitioning(rk" in streamed
+def test_group_far_beyond_the_fanout(spark):
+    base = "the quick brown fox jumps over the lazy dog and runs away again"
+    texts = [base + f" {i:03d}" for i in range(120)] + ["something else entirely, said nobody at all today"]
+    out = D.dedup(frame(spark, texts), "text", "ord", fanout=3)
+    assert {r.text for r in out.collect()} == survivors(texts)
+
+
+def test_long_chain_of_near_copies(spark):
+    text = list("abcdefghijklmnopqrstuvwxyz" * 3)
+    texts = []
+    for i in range(40):  # each resembles its neighbours only
+        text[(i * 5) % len(text)] = "0123456789"[i % 10]
+        texts.append("".join(text))
+    out = D.dedup(frame(spark, texts), "text", "ord", fanout=4)
+    assert {r.text for r in out.collect()} == survivors(texts)
+
+
+def test_hot_dissimilar_texts(spark):
+    rnd = random.Random(2)
+    texts = list(dict.fromkeys("".join(rnd.choice("ab ") for _ in range(40)) for _ in range(70)))
+    out = D.dedup(frame(spark, texts), "text", "ord", fanout=5)
+    assert {r.text for r in out.collect()} == survivors(texts)
+
+
+def test_candidates_are_selective(spark):
+    # far fewer candidates than pairs, and none of the similar pairs lost
+    from corpusflow.queries import _passing
+    from corpusflow.session import materialize
+    from tests.conftest import SF_MID
+
+    texts = materialize(D.distinct_texts(_passing(spark, SF_MID)))
+    n = texts.count()
+    rows = D.prefix_rows(D._lowered(texts))
+    assert D._candidates(rows, rows).count() < 0.1 * n * (n - 1) / 2
