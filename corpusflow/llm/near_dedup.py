@@ -9,11 +9,17 @@ probability equal to their weighted Jaccard similarity; ``BANDS`` bands of
 ``SAMPLES / BANDS`` draws are the blocking keys.
 
 Texts with equal words are collapsed first.  In each band bucket every text is
-linked to one centre (random per bucket and band), and the pairs that pass the
-weight bound are verified by exact weighted Jaccard on whole texts.  Buckets
-whose texts then still lie in different classes compare those across classes,
-so no candidate pair of different texts stays unseen; a large group of near
-copies costs one link per member.  Classes are the connected components.
+paired with two centres (random per bucket), and the pairs that pass the weight
+bound are verified by exact weighted Jaccard on whole texts; a large group of
+near copies costs two pairs per member.  Buckets whose texts then still lie in
+different classes go on: over the texts in them, a shingle that only one text
+holds can be in no intersection, so the weight of such shingles bounds every
+similarity of its text.  Texts that the bound sets apart from all others leave;
+the rest are paired with the text of least such weight, and what still differs
+in class is compared across classes, each pair in the first band it shares.  So
+every candidate pair of different texts in one bucket is in one class already,
+ruled out by an exact bound, or verified.  Classes are the connected
+components.
 
 Defined results: a null or empty text, or one without words, is a class of its
 own; ties keep the smallest identifier; where identifiers are missing or
@@ -29,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm.store import components, fresh, row_keyed, stored
@@ -216,19 +222,16 @@ def weighted_jaccard(left: pa.Array, right: pa.Array, idf: np.ndarray) -> np.nda
     return out
 
 
-def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of identifiers whose texts are similar, with their similarity.
+def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """The pairs (a, b) whose texts are similar, with their similarity.
 
-    Each text that takes part is fetched once, then joined to its pairs.  The
-    weight bound passed before, so a text that many pairs share is at most
-    1 / 0.8 times as heavy as each partner.
+    ``texts`` holds rep and text of all texts in question.  The weight bound
+    passed before, so a text that many pairs share is at most 1 / 0.8 times as
+    heavy as each partner.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(idf)
-    nodes = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(nodes, "doc_id")
-    texts = stored(texts, "near-texts")
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    sent = texts.sparkSession.sparkContext.broadcast(idf)  # a fixed table
+    left = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta"))
+    right = texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,12 +243,77 @@ def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, id_col: str, te
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, f"a {kind}, b {kind}, similarity double")
 
 
+#: Slack for sums of floats in the bounds.
+_SLACK = 1e-6
+
+
 def _bounded(pairs: DataFrame) -> DataFrame:
-    """Pairs whose weights allow the similarity (min / max is an upper bound)."""
-    return pairs.where(F.least("wa", "wb") >= SIMILARITY * (1 - 1e-6) * F.greatest("wa", "wb")).select(
+    """Pairs (a, wa, b, wb) whose weights allow the similarity: min / max bounds it."""
+    return pairs.where((F.col("a") != F.col("b")) & (F.least("wa", "wb") >= SIMILARITY * (1 - _SLACK) * F.greatest("wa", "wb"))).select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def _own_weight(texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(rep, u): weight of the shingles that no other of these texts holds."""
+    sent = texts.sparkSession.sparkContext.broadcast(idf)  # a fixed table
+    kind = texts.schema["rep"].dataType.simpleString()
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, _, block in blocks(batch.column("text")):
+                doc, gram, count = shingles(block)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(gram.view(np.int64)), batch.column("rep").take(pa.array(row + doc)),
+                    pa.array(count * sent.value[bucket(gram)], pa.float32())], ["gram", "rep", "w"])
+
+    rows = texts.select("rep", "text").mapInArrow(split, f"gram long, rep {kind}, w float")
+    alone = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.first("rep").alias("rep"), F.first("w").alias("w")).where("n = 1")
+    return alone.groupBy("rep").agg(F.sum(F.col("w").cast("double")).alias("u"))
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """Buckets whose texts lie in several classes."""
+    return placed.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band", "key")
+
+
+def _placed(keys: DataFrame, links: DataFrame) -> DataFrame:
+    roots = components(links)
+    return keys.drop("root").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+
+
+def _across(rest: DataFrame, reps: DataFrame, texts: DataFrame, idf: np.ndarray, links: DataFrame) -> DataFrame:
+    """Further links in buckets (band, key, rep, w, root) that hold several classes."""
+    # similarity s needs a common weight of s / (1 + s) of both weights together
+    part = SIMILARITY / (1 + SIMILARITY) * (1 - _SLACK)
+    own = _own_weight(texts.join(rest.select("rep").distinct(), "rep", "left_semi"), idf)
+    free = rest.join(own, "rep", "left").withColumn("m", F.col("w") - F.coalesce("u", F.lit(0.0))).where(
+        F.col("m") >= part * (1 + SIMILARITY) * F.col("w")).drop("u")
+    free = stored(free.join(_mixed(free), ["band", "key"]), "near-free")
+
+    def allowed(a: str, b: str) -> Column:
+        return F.least(f"m{a}", f"m{b}") >= part * (F.col(f"w{a}") + F.col(f"w{b}"))
+
+    middle = free.groupBy("band", "key").agg(
+        F.min(F.struct((-F.col("m") / F.col("w")).alias("f"), "rep", "w", "m", "root")).alias("c"))
+    near = free.join(middle, ["band", "key"]).select(
+        F.col("rep").alias("a"), F.col("w").alias("wa"), F.col("m").alias("ma"), "root", F.col("c.rep").alias("b"),
+        F.col("c.w").alias("wb"), F.col("c.m").alias("mb"), F.col("c.root").alias("root_b"))
+    near = near.where((F.col("root") != F.col("root_b")) & allowed("a", "b"))
+    more = stored(verified(_bounded(near), texts, idf), "near-links")
+
+    free = _placed(free, links.unionByName(more)).join(reps.select("rep", "bands"), "rep")
+    free = stored(free.join(_mixed(free), ["band", "key"]), "near-free")
+    if free.isEmpty():
+        return more
+    one = free.select("band", "key", F.col("rep").alias("a"), F.col("w").alias("wa"), F.col("m").alias("ma"), "root", "bands")
+    two = free.select("band", "key", F.col("rep").alias("b"), F.col("w").alias("wb"), F.col("m").alias("mb"),
+                      F.col("root").alias("root_b"), F.col("bands").alias("bands_b"))
+    shared = F.zip_with("bands", "bands_b", lambda x, y: x == y)
+    cross = one.join(two, (one["band"] == two["band"]) & (one["key"] == two["key"]) & (F.col("root") > F.col("root_b"))
+                     & allowed("a", "b") & (F.array_position(shared, True) == one["band"] + 1))
+    return more.unionByName(stored(verified(_bounded(cross), texts, idf), "near-links"))
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id (the smallest of the class),
     class_size, n_links (verified links of its words to other texts), kept."""
@@ -269,26 +337,22 @@ def _near_dedup(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             F.min("doc_id").alias("rep"), F.first("weight").alias("w"), F.first("bands").alias("bands")),
         "near-texts-distinct")
     keys = reps.select("rep", "w", F.posexplode("bands").alias("band", "key"))
-    centre = keys.groupBy("band", "key").agg(
-        F.min(F.struct(F.xxhash64("rep", "band").alias("h"), F.col("rep").alias("b"), F.col("w").alias("wb"))).alias("m"),
-        F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key", "m.b", "m.wb")
-    star = keys.join(centre, ["band", "key"]).where("rep <> b").select(F.col("rep").alias("a"), "b", F.col("w").alias("wa"), "wb")
-    links = stored(verified(stored(_bounded(star), "near-pairs"), docs, idf, id_col, text_col), "near-links")
-
-    # buckets that still hold several classes: compare across those
+    centres = keys.groupBy("band", "key").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.min(F.struct(F.xxhash64("rep", "band", F.lit(k)).alias("h"), "rep", "w")).alias(f"c{k}") for k in (0, 1)],
+    ).where("n > 1").select("band", "key", "c0", "c1")
+    grouped = stored(keys.join(centres, ["band", "key"]), "near-buckets")
+    names = grouped.select("rep").distinct()
+    texts = stored(docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(names, "rep"), "near-texts")
+    star = grouped.select(F.col("rep").alias("a"), F.col("w").alias("wa"), F.explode(F.array("c0", "c1")).alias("c")).select(
+        "a", "wa", F.col("c.rep").alias("b"), F.col("c.w").alias("wb"))
+    links = stored(verified(_bounded(star), texts, idf), "near-links")
+
+    placed = stored(_placed(grouped.select("band", "key", "rep", "w"), links), "near-placed")
+    rest = stored(placed.join(_mixed(placed), ["band", "key"]), "near-mixed")
+    if not rest.isEmpty():
+        links = stored(links.unionByName(_across(rest, reps, texts, idf, links)), "near-links")
     roots = stored(components(links), "near-roots")
-    placed = keys.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "band", "key", "rep", "w", F.coalesce("root", "rep").alias("root"))
-    mixed = placed.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band", "key")
-    rest = placed.join(mixed, ["band", "key"])
-    other = rest.select("band", "key", F.col("rep").alias("b"), F.col("w").alias("wb"), F.col("root").alias("root_b"))
-    cross = rest.select("band", "key", F.col("rep").alias("a"), F.col("w").alias("wa"), "root").join(
-        other, ["band", "key"]).where((F.col("root") > F.col("root_b")) & (F.least("wa", "wb") >= SIMILARITY * (1 - 1e-6) * F.greatest("wa", "wb")))
-    seen = star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    more = stored(_bounded(cross).join(seen, ["a", "b"], "left_anti"), "near-pairs")
-    if not more.isEmpty():
-        links = stored(links.unionByName(verified(more, docs, idf, id_col, text_col)), "near-links")
-        roots = stored(components(links), "near-roots")
 
     ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep")))
     degree = ends.groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
