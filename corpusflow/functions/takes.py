@@ -10,7 +10,7 @@ parsing for the JSON, regular expressions for the fallback.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow import constants as K
@@ -60,14 +60,14 @@ def fence_error(content) -> Column:
     return s.startswith(FENCE) & (F.instr(s, "\n") == 0)
 
 
-def parsed_takes(text, min_chars: int = K.MIN_TAKE_CHARS) -> Column:
+def parsed_takes(text, min_chars: int = K.MIN_TAKE_CHARS, v: Column | None = None) -> Column:
     """C11 + F7 on parsed JSON: strings of raw length >= min_chars, stripped.
 
     An array gives its string elements; an object gives its keys (iterating a
     mapping yields keys); a string gives nothing.  Null when the text is not
     JSON or is a scalar that cannot be iterated.
     """
-    v = F.try_parse_json(text)
+    v = F.try_parse_json(text) if v is None else v
     kind = F.schema_of_variant(v)
     arr = F.try_variant_get(v, "$", "array<variant>")
     from_array = F.transform(
@@ -92,12 +92,11 @@ def fallback_takes(text, min_chars: int = K.MIN_TAKE_CHARS) -> Column:
     return F.when(has, F.transform(found, ustrip))
 
 
-def take_status(content) -> Column:
-    text = strip_fence(content)
-    v = F.try_parse_json(text)
+def status_of(text: Column, bad_fence: Column, v: Column) -> Column:
+    """Status of a response from its unfenced text and the parsed value ``v``."""
     kind = F.schema_of_variant(v)
     return (
-        F.when(fence_error(content), F.lit(NO_NEWLINE))
+        F.when(bad_fence, F.lit(NO_NEWLINE))
         .when(v.isNotNull() & (kind.startswith("ARRAY") | kind.startswith("OBJECT") | (kind == "STRING")), F.lit(OK))
         .when(v.isNotNull(), F.lit(NOT_ITERABLE))
         .when(F.length(F.regexp_extract(text, BRACKETS_RE, 1)) > 0, F.lit(FALLBACK))
@@ -105,12 +104,34 @@ def take_status(content) -> Column:
     )
 
 
+def takes_of(text: Column, bad_fence: Column, v: Column, min_chars: int = K.MIN_TAKE_CHARS) -> Column:
+    """All takes from the unfenced text and the parsed value, in order (empty if none)."""
+    none = F.array().cast("array<string>")
+    return (
+        F.when(bad_fence, none)
+        .when(v.isNotNull(), F.coalesce(parsed_takes(text, min_chars, v), none))
+        .otherwise(F.coalesce(fallback_takes(text, min_chars), none))
+    )
+
+
+def take_status(content) -> Column:
+    text = strip_fence(content)
+    return status_of(text, fence_error(content), F.try_parse_json(text))
+
+
 def takes(content, min_chars: int = K.MIN_TAKE_CHARS) -> Column:
     """All takes of one response content, in order (empty if none)."""
     text = strip_fence(content)
-    parsed_ok = F.try_parse_json(text).isNotNull()
-    return (
-        F.when(fence_error(content), F.array().cast("array<string>"))
-        .when(parsed_ok, F.coalesce(parsed_takes(text, min_chars), F.array().cast("array<string>")))
-        .otherwise(F.coalesce(fallback_takes(text, min_chars), F.array().cast("array<string>")))
-    )
+    return takes_of(text, fence_error(content), F.try_parse_json(text), min_chars)
+
+
+def parsed_responses(responses: DataFrame, response: str = "response", keep=()) -> DataFrame:
+    """``content``, ``text`` (unfenced), ``bad_fence`` and the parsed value ``v``.
+
+    Each step is exploded from a one-element array, so it is evaluated once per
+    row: plain columns would be pasted into every later use.
+    """
+    out = responses.select(*keep, F.explode(F.array(completion_content(response))).alias("content"))
+    fenced = F.struct(strip_fence("content").alias("text"), fence_error(F.col("content")).alias("bad_fence"))
+    out = out.select(*keep, "content", F.explode(F.array(fenced)).alias("_f")).select(*keep, "content", "_f.text", "_f.bad_fence")
+    return out.select("*", F.explode(F.array(F.try_parse_json("text"))).alias("v"))

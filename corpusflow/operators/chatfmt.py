@@ -2,7 +2,8 @@
 
 Templates are a small reference table ``(family, idx, template)``; the
 choice is a pair of seeded draws per example, so formatting is a map-side
-projection plus a broadcast lookup of a table with a fixed, tiny size.
+projection plus a lookup of one row per family (broadcast if Spark finds it
+below its own size limit).
 """
 
 from __future__ import annotations
@@ -38,35 +39,35 @@ def route_family(roll: Column, topic: Column, p_direct: float = K.P_DIRECT, p_to
     )
 
 
-def family_sizes(direct=K.DIRECT_TEMPLATES, topic=K.TOPIC_TEMPLATES, debate=K.DEBATE_TEMPLATES) -> Column:
-    return (
-        F.when(F.col("family") == DIRECT, F.lit(len(direct)))
-        .when(F.col("family") == TOPIC, F.lit(len(topic)))
-        .otherwise(F.lit(len(debate)))
-    )
-
-
 def choose_templates(df: DataFrame, key: str = "rk", topic_col: str = "topic", seed: int = K.SEED,
                      templates: DataFrame | None = None, **families) -> DataFrame:
     """R1..R3 + J5 + C9: adds ``family``, ``idx``, ``template`` and ``user``.
 
-    ``key`` identifies the example (the draws depend on it alone).
+    ``key`` identifies the example (the draws depend on it alone).  A caller's
+    ``templates`` (family, idx, template) may number its rows in any way: the
+    draw picks among the rows the table holds.  Each family's templates are one
+    row, and no example is lost: one whose family has no template is an error.
     """
     spark = df.sparkSession
     tpl = templates if templates is not None else template_table(spark, **families)
+    ranked = F.array_sort(F.collect_list(F.struct("idx", "template")))
+    lists = tpl.groupBy("family").agg(ranked.alias("_list"))
     out = df.withColumn("family", route_family(seeded_uniform(seed, "family", F.col(key)), F.col(topic_col)))
-    out = out.withColumn(
-        "idx", F.floor(seeded_uniform(seed, "idx", F.col(key)) * family_sizes(**families)).cast("int")
-    )
-    # the template table has a fixed handful of rows: broadcasting it is safe
-    out = out.join(F.broadcast(tpl), ["family", "idx"])
-    return out.withColumn("user", fill_template(F.col("template"), K.TOPIC_PLACEHOLDER, F.col(topic_col)))
+    out = out.join(lists, "family", "left").withColumn(
+        "_at", F.floor(seeded_uniform(seed, "idx", F.col(key)) * F.size("_list")).cast("int"))
+    missing = F.raise_error(F.concat(F.lit("no template for family "), F.col("family")))
+    picked = F.when(F.col("_list").isNull(), missing.cast("struct<idx:int,template:string>")).otherwise(F.get("_list", F.col("_at")))
+    out = out.withColumn("_t", picked).select(
+        "*", F.col("_t.idx").alias("idx"), F.col("_t.template").alias("template")).drop("_list", "_at", "_t")
+    topic = F.coalesce(F.col(topic_col), F.lit(""))
+    return out.withColumn("user", fill_template(F.col("template"), K.TOPIC_PLACEHOLDER, topic))
 
 
 def format_examples(df: DataFrame, system_prompt: str = K.DEFAULT_SYSTEM_PROMPT, key: str = "rk",
-                    text_col: str = "text", topic_col: str = "topic", seed: int = K.SEED) -> DataFrame:
+                    text_col: str = "text", topic_col: str = "topic", seed: int = K.SEED,
+                    templates: DataFrame | None = None) -> DataFrame:
     """P5: ``messages`` = system, templated user turn, the text as answer."""
-    out = choose_templates(df, key=key, topic_col=topic_col, seed=seed)
+    out = choose_templates(df, key=key, topic_col=topic_col, seed=seed, templates=templates)
     return out.withColumn("messages", to_messages(F.lit(system_prompt), F.col("user"), F.col(text_col)))
 
 

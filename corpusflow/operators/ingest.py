@@ -7,11 +7,11 @@ processed in one job.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow import constants as K
-from corpusflow.sources.payloads import listing_after, listing_children
+from corpusflow import schemas as S
 
 
 def engagement_gate(min_comments: int = K.MIN_COMMENTS_GENERAL) -> Column:
@@ -24,21 +24,30 @@ def page_cutoff(pages: DataFrame, max_pages: int = K.MAX_PAGES_GENERAL, query_co
     """F8: the pages a paginated walk would have used.
 
     Per query, pages ``0 .. max_pages-1`` in order; the walk stops before an
-    empty page or a gap, and after a page without a cursor.  Pages at or
-    beyond the maximum are removed first, so each window group holds at most
-    ``max_pages`` rows.
+    empty page or a gap, and after a page without a cursor.  A page that
+    landed more than once counts once: the copy with the largest payload text
+    in order stays.  The walk is settled per page number below the
+    maximum, of which a query has few.
     """
+    key = [*query_cols, page_col]
     p = pages.where(F.col(page_col) < max_pages)
-    p = p.withColumn("_n", F.coalesce(F.size(listing_children(payload)), F.lit(0)))
-    p = p.withColumn("_after", listing_after(payload))
-    w = Window.partitionBy(*query_cols).orderBy(page_col)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    # a page is reached when no earlier page ended the walk and there is no gap
-    ended = (F.col("_after").isNull() | (F.col("_n") == 0)).cast("int")
-    p = p.withColumn("_ended_before", F.coalesce(F.sum(ended).over(before), F.lit(0)))
-    p = p.withColumn("_rn", F.row_number().over(w) - 1)
-    reached = (F.col("_ended_before") == 0) & (F.col("_rn") == F.col(page_col)) & (F.col("_n") > 0)
-    return p.where(reached).drop("_n", "_after", "_ended_before", "_rn")
+    # one parse of the payload, bound in a one-element array
+    shape = F.transform(F.array(F.from_json(payload, S.LISTING_PAGE)["data"]), lambda d: F.struct(
+        F.coalesce(F.size(d["children"]), F.lit(0)).alias("n"), d["after"].alias("after")))[0]
+    rest = [c for c in pages.columns if c not in key]
+    one = p.select(*key, F.struct(payload, *[c for c in rest if c != payload], shape.alias("_s")).alias("_r"))
+    one = one.groupBy(*key).agg(F.max("_r").alias("_r"))
+    ends = one.groupBy(*query_cols).agg(
+        F.min(F.when(F.col("_r._s.n") == 0, F.col(page_col))).alias("_stop"),              # the walk ends before it
+        F.min(F.when(F.col("_r._s.after").isNull(), F.col(page_col) + 1)).alias("_last"),  # the walk ends after it
+        F.array_sort(F.collect_set(page_col)).alias("_nos"),  # fewer than max_pages numbers
+    )
+    # without a gap the sorted numbers are 0, 1, 2, ...
+    gap = F.size(F.filter("_nos", lambda x: F.array_position("_nos", x) == x + 1)).cast("long")
+    top = F.lit(max_pages).cast("long")
+    reach = ends.select(*query_cols, F.least(F.coalesce("_stop", top), F.coalesce("_last", top), gap).alias("_reach"))
+    kept = one.join(reach, list(query_cols)).where(F.col(page_col) < F.col("_reach"))
+    return kept.select(*key, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*pages.columns)
 
 
 def seen_anti(df: DataFrame, seen: DataFrame, id_col: str = "id") -> DataFrame:
@@ -61,11 +70,6 @@ def worklist_anti(work: DataFrame, completed: DataFrame, label: str = "label") -
     return work.join(completed.select(label).distinct(), label, "left_anti")
 
 
-def search_label(scope: Column, query: Column, targeted: bool) -> Column:
-    """Completion label: ``query`` (general) or ``scope:query`` (targeted)."""
-    return F.concat(scope, F.lit(":"), query) if targeted else query
-
-
 def distinct_ids(df: DataFrame, id_col: str = "id") -> DataFrame:
     """A2: number of distinct ids collected (exact)."""
     return df.agg(F.count_distinct(id_col).alias("n_ids"))

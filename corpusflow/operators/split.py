@@ -19,8 +19,8 @@ from corpusflow import constants as K
 from corpusflow.functions.rand import seeded_bits
 from corpusflow.session import materialize
 
-# rows per bucket the exact split aims for
-ROWS_PER_BUCKET = 2_000_000
+# rows per bucket the exact split aims for: a task numbers one bucket at a time
+ROWS_PER_BUCKET = 20_000
 
 
 def seeded_order(df: DataFrame, key: Column, seed: int = K.SEED, stream: str = "shuffle") -> DataFrame:
@@ -36,12 +36,13 @@ def global_position(df: DataFrame, n: int | None = None, rows_per_bucket: int =
     b = F.floor(F.col("u") * buckets / F.lit(1 << 32)).cast("int")
     with_b = df.withColumn("_b", b)
     counts = with_b.groupBy("_b").agg(F.count(F.lit(1)).alias("_cnt"))
-    # one row per bucket: a window over them is tiny
+    # one row per bucket, so numbering them in one task is small; the join side
+    # is broadcast only if Spark finds it below its own size limit
     counts = counts.withColumn(
         "_off", F.coalesce(F.sum("_cnt").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ).drop("_cnt")
     w = Window.partitionBy("_b").orderBy("u", "skey")
-    out = with_b.join(F.broadcast(counts), "_b") if buckets <= 100_000 else with_b.join(counts, "_b")
+    out = with_b.join(counts, "_b")
     return out.withColumn("pos", F.col("_off") + F.row_number().over(w) - 1).drop("_b", "_off")
 
 

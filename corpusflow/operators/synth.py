@@ -14,23 +14,24 @@ from pyspark.sql import functions as F
 from corpusflow import constants as K
 from corpusflow.functions.chat import to_messages
 from corpusflow.functions.rand import seeded_index
-from corpusflow.functions.takes import NO_NEWLINE, NOT_ITERABLE, completion_content, take_status, takes
+from corpusflow.functions.takes import NO_NEWLINE, NOT_ITERABLE, parsed_responses, status_of, takes_of
 
 
 def take_rows(responses: DataFrame, response: str = "response", order_cols=("batch",),
               min_chars: int = K.MIN_TAKE_CHARS) -> DataFrame:
     """S7 + C10..C12 + F7: one row per take, ``pos`` = position in its response."""
-    content = completion_content(response)
-    tagged = responses.withColumn("status", take_status(content)).withColumn("_takes", takes(content, min_chars))
-    return tagged.select(*order_cols, "status", F.posexplode("_takes").alias("pos", "take"))
+    rows = parsed_responses(responses, response, order_cols)
+    part = (F.col("text"), F.col("bad_fence"), F.col("v"))
+    return rows.select(*order_cols, status_of(*part).alias("status"), F.posexplode(takes_of(*part, min_chars)).alias("pos", "take"))
 
 
 def take_quarantine(responses: DataFrame, response: str = "response") -> DataFrame:
     """Responses the original would have failed on."""
-    content = completion_content(response)
-    return responses.withColumn("status", take_status(content)).where(
-        F.col("status").isin(NO_NEWLINE, NOT_ITERABLE) | content.isNull()
-    )
+    rows = parsed_responses(responses, response, responses.columns)
+    status = status_of(F.col("text"), F.col("bad_fence"), F.col("v"))
+    return rows.select(*responses.columns, "content", F.explode(F.array(status)).alias("status")).where(
+        F.col("status").isin(NO_NEWLINE, NOT_ITERABLE) | F.col("content").isNull()
+    ).drop("content")
 
 
 def trim_takes(rows: DataFrame, target: int = K.SYNTHETIC_TARGET, order_cols=("batch", "pos")) -> DataFrame:

@@ -16,18 +16,11 @@ from corpusflow.operators.dedup import id_first_wins
 from corpusflow.operators.ingest import comment_title_join, page_cutoff, seen_anti
 from corpusflow.sources.payloads import explode_comments, explode_listing
 
-# walk order: query, page, child position; a post's comments follow it
-POS_BITS = 16
-
-
 def walk_order(query_ord, page_no, pos, sub) -> F.Column:
-    """A single LONG that sorts like (query_ord, page_no, pos, sub)."""
-    return (
-        query_ord.cast("long") * F.lit(1 << (3 * POS_BITS))
-        + page_no.cast("long") * F.lit(1 << (2 * POS_BITS))
-        + pos.cast("long") * F.lit(1 << POS_BITS)
-        + sub.cast("long")
-    )
+    """Walk order: query, page, child position; a post's comments follow it."""
+    return F.struct(
+        query_ord.cast("long").alias("q"), page_no.cast("long").alias("page_no"),
+        pos.cast("long").alias("pos"), sub.cast("long").alias("sub"))
 
 
 def collect_posts(pages: DataFrame, seen: DataFrame | None = None, max_pages: int = K.MAX_PAGES_GENERAL,
@@ -48,7 +41,7 @@ def collect_items(pages: DataFrame, comment_pages: DataFrame, seen: DataFrame |
     posts = collect_posts(pages, seen, max_pages, query_ord, query_cols)
     comments = explode_comments(comment_pages, keep=("post_id",))
     comments = comment_title_join(comments, posts, min_comments)
-    comments = comments.withColumn("ord", F.col("post_ord") + F.col("cpos") + 1).drop("post_ord", "cpos", "post_id")
+    comments = comments.withColumn("ord", F.col("post_ord").withField("sub", F.col("cpos").cast("long") + 1)).drop("post_ord", "cpos", "post_id")
     both = posts.unionByName(comments, allowMissingColumns=True)
     if seen is not None:
         both = seen_anti(both, seen)

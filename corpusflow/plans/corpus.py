@@ -18,7 +18,7 @@ from corpusflow.operators.chatfmt import format_examples
 from corpusflow.operators.counts import stage_counts
 from corpusflow.operators.dedup import dedup
 from corpusflow.operators.quality import passes_filter, with_texts
-from corpusflow.operators.split import split_exact, split_grouped
+from corpusflow.operators.split import global_position, seeded_order, split_exact, split_grouped
 from corpusflow.session import materialize
 from corpusflow.sources.readers import split_quarantine
 
@@ -35,6 +35,11 @@ def clean_filter(items: DataFrame) -> DataFrame:
     return with_texts(passes_filter(items))
 
 
+def answer_text(messages: str) -> F.Column:
+    """The last message's content: what a grouped split must not spread."""
+    return F.try_element_at(F.col(messages), F.lit(-1))["content"]
+
+
 def build_corpus(items: DataFrame, synthetic: DataFrame | None = None, system_prompt: str = K.DEFAULT_SYSTEM_PROMPT,
                  seed: int = K.SEED, mode: str = "reference", split: str = "exact") -> CorpusResult:
     if S.CORRUPT in items.columns:
@@ -57,7 +62,8 @@ def build_corpus(items: DataFrame, synthetic: DataFrame | None = None, system_pr
     if split == "exact":
         out = split_exact(examples, key, seed=seed)
     elif split == "grouped":
-        out = split_grouped(examples, F.col("messages")[2]["content"], seed=seed)
+        # by the answer; positions are numbered as in the exact split
+        out = global_position(seeded_order(split_grouped(examples, answer_text("messages"), seed=seed), key, seed))
     else:
         raise ValueError(f"unknown split {split!r}")
 

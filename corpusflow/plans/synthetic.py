@@ -1,7 +1,7 @@
 """Synthetic examples from landed model responses.
 
 responses -> content -> fence -> JSON or fallback takes -> takes in order
--> first N -> seeded user prompt -> chat examples (+ quarantine).
+-> first N, if a target is given -> seeded user prompt -> chat examples (+ quarantine).
 """
 
 from __future__ import annotations
@@ -22,9 +22,9 @@ class SyntheticResult:
 
 
 def build_synthetic(responses: DataFrame, system_prompt: str = K.DEFAULT_SYSTEM_PROMPT,
-                    target: int = K.SYNTHETIC_TARGET, seed: int = K.SEED) -> SyntheticResult:
+                    target: int | None = None, seed: int = K.SEED) -> SyntheticResult:
     rows = take_rows(responses).drop("status")
-    first = trim_takes(rows, target)
+    first = rows if target is None else trim_takes(rows, target)
     ex = format_synthetic(first, system_prompt=system_prompt, seed=seed)
     ex = ex.withColumn("ord", F.col("batch") * F.lit(1 << 20) + F.col("pos"))
     return SyntheticResult(examples=ex, quarantine=take_quarantine(responses))

@@ -25,12 +25,12 @@ from corpusflow.operators.split import seeded_order, split_exact, split_grouped,
 from corpusflow.operators.synth import take_quarantine, take_rows, trim_takes
 from corpusflow.plans.collect import collect_items
 from corpusflow import schemas as S
-from corpusflow.plans.corpus import build_corpus, clean_filter, write_corpus
+from corpusflow.plans.corpus import answer_text, build_corpus, clean_filter, write_corpus
 from corpusflow.plans.synthetic import build_synthetic
 from corpusflow.session import ensure_checkpoint_dir, materialize, scratch_path
 from corpusflow.sources import tables as TB
 from corpusflow.sources.payloads import explode_comments, explode_listing
-from corpusflow.sources.readers import read_items
+from corpusflow.sources.readers import read_chat, read_items, split_quarantine
 from corpusflow.streaming.ingest import completed_sink, item_stream, new_ids_only, run_available
 
 GENERATION_PROMPT = "Write {count} short, confident takes about {topic}. Answer with a JSON array of strings."
@@ -160,7 +160,8 @@ def q_passes_filter(spark, sf):
 
 def q_page_cutoff(spark, sf):
     pages = TB.listing_pages(TB.table(spark, sf, "documents"))
-    return I.page_cutoff(pages, K.MAX_PAGES_GENERAL).select("q", "page_no")
+    again = pages.where((F.col("q") % 4 == 1) & (F.col("page_no") <= 2))  # these landed twice
+    return I.page_cutoff(pages.unionByName(again), K.MAX_PAGES_GENERAL).select("q", "page_no")
 
 
 def q_generation_requests(spark, sf):
@@ -288,7 +289,34 @@ def q_collect_items(spark, sf):
     """New posts and comments in walk order."""
     docs = TB.table(spark, sf, "documents")
     got = collect_items(TB.listing_pages(docs), TB.comment_pages(docs), TB.seen_ids(TB.table(spark, sf, "labels")))
-    return got.select("id", "type", "ord", "title", "post_title", "score")
+    ord_ = [F.col("ord")[c].alias(c) for c in ("q", "page_no", "pos", "sub")]
+    return got.select("id", "type", *ord_, "title", "post_title", "score")
+
+
+def q_collect_targeted(spark, sf):
+    """E2, targeted: three pages, posts with five comments, source tag on all items."""
+    docs = TB.table(spark, sf, "documents")
+    got = collect_items(
+        TB.listing_pages(docs), TB.comment_pages(docs), TB.seen_ids(TB.table(spark, sf, "labels")),
+        max_pages=K.MAX_PAGES_TARGETED, min_comments=K.MIN_COMMENTS_TARGETED, source=K.TARGETED_SOURCE)
+    ord_ = [F.col("ord")[c].alias(c) for c in ("q", "page_no", "pos", "sub")]
+    return got.select("id", "type", *ord_, "title", "post_title", "source")
+
+
+def q_item_quarantine(spark, sf):
+    """Items that cannot be processed, and a fractional score that can."""
+    b = TB.table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("i"))
+    lines = b.select(F.explode(F.array(
+        F.concat(F.lit('{"id": "g'), "i", F.lit('", "type": "comment", "body": "x", "score": '), "i", F.lit(".5}")),
+        F.concat(F.lit('{"id": "m'), "i", F.lit('", "type": ')),
+        F.concat(F.lit('{"id": "t'), "i", F.lit('", "score": 1.5}')),
+        F.concat(F.lit('{"id": "p'), "i", F.lit('", "type": "post"}')),
+    )).alias("value"))
+    path = scratch_path(spark, "items_odd")
+    lines.write.text(path)
+    good, bad = split_quarantine(read_items(spark, [path]))
+    both = good.select(F.lit("good").alias("reason"), "score").unionByName(bad.select("reason", "score"))
+    return both.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score"))
 
 
 def q_near_dup_pairs(spark, sf):
@@ -339,7 +367,7 @@ def q_take_quarantine(spark, sf):
 
 
 def q_synthetic_examples(spark, sf):
-    """Trimmed takes with a seeded user prompt."""
+    """Every take with a seeded user prompt."""
     res = build_synthetic(TB.completions(TB.table(spark, sf, "documents")))
     return res.examples.select("batch", "pos", flatten_messages("messages").alias("messages"))
 
@@ -365,7 +393,7 @@ def q_split_hash(spark, sf):
 
 def q_split_grouped(spark, sf):
     ex = _all_examples(spark, sf)
-    return split_grouped(ex, F.col("messages")[F.size("messages") - 1]["content"]).select("origin", "ord", "split")
+    return split_grouped(ex, answer_text("messages")).select("origin", "ord", "split")
 
 
 def q_line_count(spark, sf):
@@ -384,6 +412,25 @@ def q_corpus_build(spark, sf):
     return res.examples.select("origin", "ord", "pos", "split", flatten_messages("messages").alias("messages"))
 
 
+def q_build_counts(spark, sf):
+    """A1: the counts of a whole corpus build."""
+    synthetic = TB.conversation_examples(TB.table(spark, sf, "conversations")).select(F.col("conv_id").alias("ord"), "messages")
+    return build_corpus(_items(spark, sf), synthetic).stages
+
+
+def q_read_splits(spark, sf):
+    """K2 + S2/S3: the written splits read back with their line order."""
+    synthetic = TB.conversation_examples(TB.table(spark, sf, "conversations")).select(F.col("conv_id").alias("ord"), "messages")
+    out = scratch_path(spark, "corpus")
+    write_corpus(build_corpus(_items(spark, sf), synthetic), out)
+    parts = [
+        read_chat(spark, f"{out}/{name}").select(
+            F.lit(name).alias("split"), F.col("ord").alias("line"), flatten_messages("messages").alias("messages"))
+        for name in ("train", "val")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 def q_write_splits(spark, sf):
     """K2: the corpus written as ordered train/val JSONL, read back."""
     items = _items(spark, sf)
@@ -464,6 +511,8 @@ QUERIES = {
     "id_first_wins": q_id_first_wins,
     "distinct_ids": q_distinct_ids,
     "collect_items": q_collect_items,
+    "collect_targeted": q_collect_targeted,
+    "item_quarantine": q_item_quarantine,
     "near_dup_pairs": q_near_dup_pairs,
     "dedup_reference": q_dedup_reference,
     "dedup_strict": q_dedup_strict,
@@ -480,6 +529,8 @@ QUERIES = {
     "line_count": q_line_count,
     "corpus_build": q_corpus_build,
     "write_splits": q_write_splits,
+    "build_counts": q_build_counts,
+    "read_splits": q_read_splits,
     "stream_new_ids": q_stream_new_ids,
     "stream_completed": q_stream_completed,
 }

@@ -13,7 +13,7 @@ ITEM = T.StructType([
     T.StructField("selftext", T.StringType()),
     T.StructField("post_title", T.StringType()),
     T.StructField("body", T.StringType()),
-    T.StructField("score", T.LongType()),
+    T.StructField("score", T.DoubleType()),
     T.StructField("num_comments", T.LongType()),
     T.StructField("created_utc", T.DoubleType()),
     T.StructField("source", T.StringType()),

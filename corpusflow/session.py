@@ -34,8 +34,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
     The folder is read from the session (``spark.checkpoint.dir`` or the
-    context's checkpoint directory).  Only when none is configured, as in a
-    bare local test session, a private folder is created and registered.
+    context's checkpoint directory).  Only a ``local`` session, as in tests,
+    may go without: it gets a private folder.  On a cluster a folder on the
+    driver's disk would be of no use to the executors, so that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -43,6 +44,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="corpusflow-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()

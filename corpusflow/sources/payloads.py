@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from corpusflow import constants as K
 from corpusflow import schemas as S
-from corpusflow.functions.takes import completion_content
 
 
 def _c(x) -> Column:
@@ -72,8 +71,3 @@ def explode_comments(pages: DataFrame, payload: str = "payload", keep=("post_id"
         F.coalesce(d["score"], F.lit(0)).alias("score"),
         F.coalesce(d["created_utc"], F.lit(0.0)).alias("created_utc"),
     )
-
-
-def explode_completion(responses: DataFrame, response: str = "response") -> DataFrame:
-    """Adds ``content`` = ``choices[0].message.content``."""
-    return responses.withColumn("content", completion_content(response))

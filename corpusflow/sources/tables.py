@@ -123,14 +123,16 @@ PAGES_PER_QUERY = 6   # pages landed per query (more than the maximum kept)
 def listing_pages(docs: DataFrame) -> DataFrame:
     """Landed search pages: ``scope, query, page_no, payload``.
 
-    Query ``q = doc_id div 60`` holds six pages of ten children.  Children of
-    ``doc_id % 13 = 0`` are not posts (``kind='more'``); ``selftext`` is
-    missing for ``doc_id % 17 = 0``.  Page 1 of ``q % 7 = 3`` is empty; page 2
-    of ``q % 5 = 0`` has no cursor; the last page never has one.
+    Query ``q = doc_id div 60`` holds six pages of ten children, and every
+    document is a child with its whole text.  Children of ``doc_id % 13 = 0``
+    are not posts (``kind='more'``); the key ``selftext`` is missing where
+    there is no second line.  An extra empty page stands before the second one
+    of ``q % 7 = 3``, whose later pages follow it; page 2 of ``q % 5 = 0`` has
+    no cursor, and the last page never has one.
     """
     d = F.col("doc_id")
     title = first_line(F.col("text"))
-    selftext = F.when(d % 17 == 0, F.lit(None)).otherwise(rest_after_first_line(F.col("text")))
+    selftext = F.nullif(rest_after_first_line(F.col("text")), F.lit(""))
     data = F.concat(
         F.lit('{"id": '), json_str(F.concat(F.lit("d"), d.cast("string"))),
         F.lit(', "title": '), json_str(title),
@@ -146,14 +148,17 @@ def listing_pages(docs: DataFrame) -> DataFrame:
         (d / (PAGE_SIZE * PAGES_PER_QUERY)).cast("long").alias("q"),
         ((d % (PAGE_SIZE * PAGES_PER_QUERY)) / PAGE_SIZE).cast("long").alias("page_no"),
     ).agg(_ordered_join(d, child, ", ").alias("children"))
-    q, p = F.col("q"), F.col("page_no")
-    empty = (q % 7 == 3) & (p == 1)
-    no_cursor = ((q % 5 == 0) & (p == 2)) | (p == PAGES_PER_QUERY - 1)
+    q = F.col("q")
+    moved = q % 7 == 3
+    pages = pages.withColumn("page_no", F.col("page_no") + F.when(moved & (F.col("page_no") >= 1), 1).otherwise(0))
+    extra = pages.where(moved & (F.col("page_no") == 0)).select(
+        "q", F.lit(1).cast("long").alias("page_no"), F.lit("").alias("children"))
+    pages = pages.unionByName(extra)
+    p = F.col("page_no")
+    last = PAGES_PER_QUERY - 1 + F.when(moved, 1).otherwise(0)
+    no_cursor = ((q % 5 == 0) & (p == 2)) | (p == last)
     after = F.when(no_cursor, F.lit("null")).otherwise(F.concat(F.lit('"t3_q'), q.cast("string"), F.lit("p"), (p + 1).cast("string"), F.lit('"')))
-    payload = F.concat(
-        F.lit('{"data": {"after": '), after,
-        F.lit(', "children": ['), F.when(empty, F.lit("")).otherwise(F.col("children")), F.lit("]}}"),
-    )
+    payload = F.concat(F.lit('{"data": {"after": '), after, F.lit(', "children": ['), F.col("children"), F.lit("]}}"))
     return pages.select(
         F.lit("nba").alias("scope"),
         F.concat(F.lit("query "), q.cast("string")).alias("query"),
@@ -169,8 +174,8 @@ def comment_pages(docs: DataFrame) -> DataFrame:
 
     Block ``b = doc_id div 12`` is the comment page of post ``'d' || 12 b``;
     its children are the block's documents as comments (``kind='more'`` for
-    ``doc_id % 13 = 0``).  Blocks with ``b % 6 = 5`` landed a one-element
-    payload (no comment listing).
+    ``doc_id % 13 = 0``).  Beside those, one-element payloads (no comment
+    listing) landed for posts ``'x' || b`` with ``b % 6 = 5``.
     """
     d = F.col("doc_id")
     data = F.concat(
@@ -188,10 +193,11 @@ def comment_pages(docs: DataFrame) -> DataFrame:
     b = F.col("b")
     head = F.lit('{"data": {"after": null, "children": []}}')
     second = F.concat(F.lit('{"data": {"after": null, "children": ['), F.col("children"), F.lit("]}}"))
-    payload = F.when(b % 6 == 5, F.concat(F.lit("["), head, F.lit("]"))).otherwise(
-        F.concat(F.lit("["), head, F.lit(", "), second, F.lit("]"))
-    )
-    return blocks.select(F.concat(F.lit("d"), (b * COMMENT_BLOCK).cast("string")).alias("post_id"), payload.alias("payload"))
+    payload = F.concat(F.lit("["), head, F.lit(", "), second, F.lit("]"))
+    whole = blocks.select(F.concat(F.lit("d"), (b * COMMENT_BLOCK).cast("string")).alias("post_id"), payload.alias("payload"))
+    short = blocks.where(b % 6 == 5).select(
+        F.concat(F.lit("x"), b.cast("string")).alias("post_id"), F.concat(F.lit("["), head, F.lit("]")).alias("payload"))
+    return whole.unionByName(short)
 
 
 TAKE_BATCH = 10
@@ -204,7 +210,8 @@ def completions(docs: DataFrame) -> DataFrame:
     six shapes by ``batch % 6``: 0 an array with a number, an object and a
     null in front; 1 the array in a ``json`` code fence; 2 a fence without a
     newline; 3 the array inside prose (not JSON, so the fallback applies);
-    4 an object whose keys are the texts; 5 a bare number.
+    4 an object whose keys are the texts; 5 the plain array.  Beside those, a
+    bare number landed as batch ``-1 - batch`` where ``batch % 6 = 5``.
     """
     d = F.col("doc_id")
     g = docs.groupBy((d / TAKE_BATCH).cast("long").alias("batch")).agg(
@@ -213,20 +220,23 @@ def completions(docs: DataFrame) -> DataFrame:
         F.min(d).alias("first_doc"),
         F.count(F.lit(1)).alias("n"),
     )
+    bare = g.where(F.col("batch") % 6 == 5).withColumn("batch", -1 - F.col("batch"))
+    g = g.unionByName(bare)
     arr = F.concat(F.lit("["), F.col("items"), F.lit("]"))
-    m = F.col("batch") % 6
+    m = F.when(F.col("batch") >= 0, F.col("batch") % 6)
     content = (
         F.when(m == 0, F.concat(F.lit('[1, {"x": 2}, null, '), F.col("items"), F.lit("]")))
         .when(m == 1, F.concat(F.lit("```json\n"), arr, F.lit("\n```")))
         .when(m == 2, F.concat(F.lit("```"), arr))
         .when(m == 3, F.concat(F.lit("Here are the takes: "), arr, F.lit(" Enjoy!")))
         .when(m == 4, F.concat(F.lit("{"), F.col("keys"), F.lit("}")))
-        .otherwise(F.col("n").cast("string"))
+        .when(F.col("batch") < 0, F.col("n").cast("string"))
+        .otherwise(arr)
     )
     response = F.concat(F.lit('{"choices": [{"message": {"role": "assistant", "content": '), json_str(content), F.lit("}}]}"))
     return g.select(
         "batch",
-        F.concat(F.lit("topic "), (F.col("batch") % 30).cast("string")).alias("topic"),
+        F.concat(F.lit("topic "), F.pmod(F.col("batch"), F.lit(30)).cast("string")).alias("topic"),
         response.alias("response"),
     )
 

@@ -191,34 +191,34 @@ split AS (SELECT *, CASE WHEN pos < (n * {K.TRAIN_PERCENT}) // 100 THEN 'train'
 # payload fixtures
 # ---------------------------------------------------------------------------
 
-LISTING = f"""pages AS (
-  SELECT doc_id // 60 AS q, (doc_id % 60) // 10 AS page_no, doc_id,
-         'd' || doc_id AS id, {TITLE} AS title,
-         CASE WHEN doc_id % 17 = 0 THEN '' ELSE {REST} END AS selftext,
-         (doc_id * 37) % 60 AS score, (doc_id * 7) % 20 AS num_comments,
-         CASE WHEN doc_id % 13 = 0 THEN 'more' ELSE 't3' END AS kind,
-         (doc_id // 60) % 7 = 3 AND (doc_id % 60) // 10 = 1 AS empty,
-         ((doc_id // 60) % 5 = 0 AND (doc_id % 60) // 10 = 2) OR (doc_id % 60) // 10 = 5 AS no_cursor
-  FROM documents
-),
-children AS (
-  SELECT *, row_number() OVER (PARTITION BY q, page_no ORDER BY doc_id) - 1 AS pos
-  FROM pages WHERE NOT empty
+def listing(max_pages: int = K.MAX_PAGES_GENERAL) -> str:
+    """Landed pages: every document is a child; an extra empty page pushes the
+    later pages of a query with q % 7 = 3 back by one."""
+    return f"""pages AS (
+  SELECT q, p + CASE WHEN q % 7 = 3 AND p >= 1 THEN 1 ELSE 0 END AS page_no, doc_id, id, title, selftext, score, num_comments, kind
+  FROM (
+    SELECT doc_id // 60 AS q, (doc_id % 60) // 10 AS p, doc_id,
+           'd' || doc_id AS id, {TITLE} AS title, {REST} AS selftext,
+           (doc_id * 37) % 60 AS score, (doc_id * 7) % 20 AS num_comments,
+           CASE WHEN doc_id % 13 = 0 THEN 'more' ELSE 't3' END AS kind
+    FROM documents)
 ),
+children AS (SELECT *, row_number() OVER (PARTITION BY q, page_no ORDER BY doc_id) - 1 AS pos FROM pages),
 posts AS (SELECT * FROM children WHERE kind = 't3'),
 page_list AS (
-  SELECT q, page_no, bool_or(no_cursor) AS no_cursor, bool_and(empty) AS empty
+  SELECT q, page_no, (q % 5 = 0 AND page_no = 2) OR page_no = CASE WHEN q % 7 = 3 THEN 6 ELSE 5 END AS no_cursor
   FROM pages GROUP BY q, page_no
 ),
+-- a page is used if every page number before it holds a page with children and a cursor
 walked AS (
-  SELECT q, page_no FROM (
-    SELECT *, coalesce(sum(CASE WHEN no_cursor OR empty THEN 1 ELSE 0 END) OVER (
-             PARTITION BY q ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended,
-           row_number() OVER (PARTITION BY q ORDER BY page_no) - 1 AS rn
-    FROM page_list WHERE page_no < {K.MAX_PAGES_GENERAL}
-  ) WHERE ended = 0 AND rn = page_no AND NOT empty
+  SELECT a.q, a.page_no FROM page_list a
+  WHERE a.page_no < {max_pages}
+    AND a.page_no = (SELECT count(*) FROM page_list b WHERE b.q = a.q AND b.page_no < a.page_no AND NOT b.no_cursor)
 )"""
 
+
+LISTING = listing()
+
 COMMENTS = f"""cpages AS (
   SELECT doc_id // 12 AS b, doc_id, 'c' || doc_id AS id, text AS body, (doc_id * 41) % 60 AS score,
          CASE WHEN doc_id % 13 = 0 THEN 'more' ELSE 't1' END AS kind
@@ -227,11 +227,19 @@ COMMENTS = f"""cpages AS (
 comments AS (
   SELECT 'd' || (b * 12) AS post_id, cpos, id, body, score FROM (
     SELECT *, row_number() OVER (PARTITION BY b ORDER BY doc_id) - 1 AS cpos
-    FROM cpages WHERE kind = 't1' AND b % 6 <> 5
+    FROM cpages WHERE kind = 't1'
   ) WHERE cpos < {K.COMMENTS_PER_POST}
 )"""
 
-COMPLETIONS = f"""comp AS (
+COMPLETIONS = f"""shapes AS (
+    SELECT doc_id // 10 AS batch,
+           string_agg({jstr('text')}, ', ' ORDER BY doc_id) AS items,
+           string_agg({jstr("text || ' #' || doc_id")} || ': 1', ', ' ORDER BY doc_id) AS keys,
+           count(*) AS n,
+           list(text ORDER BY doc_id) AS docs
+    FROM documents GROUP BY 1
+),
+comp AS (
   SELECT batch,
          CASE batch % 6
            WHEN 0 THEN '[1, {{"x": 2}}, null, ' || items || ']'
@@ -239,16 +247,11 @@ COMPLETIONS = f"""comp AS (
            WHEN 2 THEN '```[' || items || ']'
            WHEN 3 THEN 'Here are the takes: [' || items || '] Enjoy!'
            WHEN 4 THEN '{{' || keys || '}}'
-           ELSE CAST(n AS VARCHAR) END AS content,
+           ELSE '[' || items || ']' END AS content,
          docs
-  FROM (
-    SELECT doc_id // 10 AS batch,
-           string_agg({jstr('text')}, ', ' ORDER BY doc_id) AS items,
-           string_agg({jstr("text || ' #' || doc_id")} || ': 1', ', ' ORDER BY doc_id) AS keys,
-           count(*) AS n,
-           list(text ORDER BY doc_id) AS docs
-    FROM documents GROUP BY 1
-  )
+  FROM shapes
+  UNION ALL
+  SELECT -1 - batch, CAST(n AS VARCHAR), docs FROM shapes WHERE batch % 6 = 5
 ),
 fenced AS (
   SELECT batch, content, s,
@@ -308,7 +311,7 @@ first_takes AS (SELECT * FROM takes ORDER BY batch, pos LIMIT {K.SYNTHETIC_TARGE
 def oracle_sql() -> dict[str, str]:
     s: dict[str, str] = {}
     s["item_read_union"] = f"""WITH {ITEMS}
-SELECT id, type, title, selftext, post_title, body, score, num_comments, source,
+SELECT id, type, title, selftext, post_title, body, CAST(score AS DOUBLE) AS score, num_comments, source,
        CASE WHEN id LIKE 'd%' THEN 0 ELSE 2 END AS file_ord,
        row_number() OVER (PARTITION BY substr(id, 1, 1) ORDER BY ord) - 1 AS line
 FROM items"""
@@ -374,25 +377,28 @@ EXCEPT
 SELECT DISTINCT source || ':' || lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)"""
     s["id_first_wins"] = """SELECT user_id, event_id, event_type FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1"""
-    collected = f"""{LISTING}, {COMMENTS},
+    def collected_with(max_pages: int, min_comments: int) -> str:
+        return f"""{listing(max_pages)}, {COMMENTS},
 wposts AS (
   SELECT p.* FROM posts p JOIN walked w ON w.q = p.q AND w.page_no = p.page_no
   WHERE p.id NOT IN (SELECT 'd' || doc_id FROM labels)
 ),
 allrows AS (
-  SELECT id, 'post' AS type, q * 281474976710656 + page_no * 4294967296 + pos * 65536 AS ord,
-         title, CAST(NULL AS VARCHAR) AS post_title, score FROM wposts
+  SELECT id, 'post' AS type, q, page_no, pos, 0 AS sub, title, CAST(NULL AS VARCHAR) AS post_title, score FROM wposts
   UNION ALL
-  SELECT c.id, 'comment', p.q * 281474976710656 + p.page_no * 4294967296 + p.pos * 65536 + c.cpos + 1,
-         NULL, p.title, c.score
-  FROM comments c JOIN wposts p ON p.id = c.post_id WHERE p.num_comments >= {K.MIN_COMMENTS_GENERAL}
+  SELECT c.id, 'comment', p.q, p.page_no, p.pos, c.cpos + 1, NULL, p.title, c.score
+  FROM comments c JOIN wposts p ON p.id = c.post_id WHERE p.num_comments >= {min_comments}
 ),
 collected AS (
   SELECT * FROM allrows WHERE id NOT IN (SELECT 'd' || doc_id FROM labels)
-  QUALIFY row_number() OVER (PARTITION BY id ORDER BY ord) = 1
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY q, page_no, pos, sub) = 1
 )"""
+    collected = collected_with(K.MAX_PAGES_GENERAL, K.MIN_COMMENTS_GENERAL)
+    targeted = collected_with(K.MAX_PAGES_TARGETED, K.MIN_COMMENTS_TARGETED)
+    s["collect_targeted"] = f"""WITH {targeted}
+SELECT id, type, q, page_no, pos, sub, title, post_title, '{K.TARGETED_SOURCE}' AS source FROM collected"""
     s["distinct_ids"] = f"WITH {collected} SELECT count(DISTINCT id) AS n_ids FROM collected"
-    s["collect_items"] = f"WITH {collected} SELECT id, type, ord, title, post_title, score FROM collected"
+    s["collect_items"] = f"WITH {collected} SELECT id, type, q, page_no, pos, sub, title, post_title, score FROM collected"
     s["near_dup_pairs"] = f"WITH {DEDUP} SELECT rk_a, rk_b, inter, sz_a, sz_b FROM pairs"
     s["dedup_reference"] = f"WITH {DEDUP} SELECT id, ord FROM deduped"
     s["dedup_strict"] = f"WITH {DEDUP} SELECT p.id, p.ord FROM pass p JOIN kept_texts k ON k.text = p.text AND k.rk = p.ord"
@@ -401,18 +407,30 @@ SELECT 'raw' AS stage, count(*) AS n FROM items
 UNION ALL SELECT 'filtered', count(*) FROM pass
 UNION ALL SELECT 'distinct_texts', count(*) FROM texts
 UNION ALL SELECT 'deduped', count(*) FROM deduped"""
+    s["build_counts"] = f"""WITH {EXAMPLES}
+SELECT 'raw' AS stage, count(*) AS n FROM items
+UNION ALL SELECT 'filtered', count(*) FROM pass
+UNION ALL SELECT 'deduped', count(*) FROM deduped
+UNION ALL SELECT 'synthetic', count(*) FROM conv_ex
+UNION ALL SELECT split, count(*) FROM split GROUP BY split"""
+    s["read_splits"] = f"""WITH {EXAMPLES}
+SELECT split, row_number() OVER (PARTITION BY split ORDER BY pos) - 1 AS line, messages FROM split"""
+    s["item_quarantine"] = """SELECT reason, count(*) AS n, sum(score) AS score FROM (
+  SELECT unnest(['good', 'malformed_json', 'missing_type', 'post_without_title']) AS reason,
+         unnest([item_id + 0.5, NULL, 1.5, NULL]) AS score FROM benchmark)
+GROUP BY reason"""
     s["take_parse"] = f"WITH {COMPLETIONS} SELECT batch, pos, take FROM takes WHERE status = 'ok'"
     s["take_fallback"] = f"WITH {COMPLETIONS} SELECT batch, pos, take FROM takes WHERE status = 'fallback'"
     s["take_trim"] = f"WITH {_takes_first()} SELECT batch, pos, take FROM first_takes"
     s["take_quarantine"] = f"""WITH {COMPLETIONS}
 SELECT batch, status FROM classified WHERE status IN ('fence_without_newline', 'not_iterable')"""
     prompts = "[" + ", ".join(q(p) for p in K.SYNTHETIC_USER_PROMPTS) + "]"
-    s["synthetic_examples"] = f"""WITH {_takes_first()}
+    s["synthetic_examples"] = f"""WITH {COMPLETIONS}
 SELECT batch, pos,
        'system:' || {SYS} || {SEP} || 'user:' ||
        {prompts}[CAST(floor({uniform('prompt', "CAST(batch AS VARCHAR) || '/' || CAST(pos AS VARCHAR)")} * {len(K.SYNTHETIC_USER_PROMPTS)}) AS INTEGER) + 1]
        || {SEP} || 'assistant:' || take AS messages
-FROM first_takes"""
+FROM takes"""
     s["synth_union"] = f"WITH {EXAMPLES} SELECT origin, ord, messages FROM examples"
     s["split_exact"] = f"WITH {EXAMPLES} SELECT origin, ord, pos, split FROM split"
     s["split_hash"] = f"""WITH {EXAMPLES}

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow import schemas as S
+from corpusflow.sources.readers import path_exists
 
 
 def item_stream(spark: SparkSession, landing_dir: str, fmt: str = "json", schema=S.ITEM,
@@ -63,11 +64,8 @@ def completed_sink(completed_path: str, label_col: str = "label"):
     def write(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
         labels = batch.select(label_col).distinct()
-        try:
-            done = spark.read.parquet(completed_path)
-            labels = labels.join(done, label_col, "left_anti")
-        except Exception:  # first run: no table yet
-            pass
+        if path_exists(spark, completed_path):  # not in the first run
+            labels = labels.join(spark.read.parquet(completed_path), label_col, "left_anti")
         labels.withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(completed_path)
 
     return write
