@@ -386,6 +386,12 @@ def q_split_exact(spark, sf):
     return split_exact(ex, _example_key()).select("origin", "ord", "pos", "split")
 
 
+def q_split_filtered(spark, sf):
+    """L2 + L3 alone: the exact split of the passing items, not deduplicated."""
+    ex = _passing(spark, sf).select(F.lit("item").alias("origin"), "ord", "text")
+    return split_exact(ex, _example_key()).select("ord", "pos", "split")
+
+
 def q_split_hash(spark, sf):
     ex = _all_examples(spark, sf)
     return split_hash(ex, _example_key()).select("origin", "ord", "split")
@@ -524,6 +530,7 @@ QUERIES = {
     "synthetic_examples": q_synthetic_examples,
     "synth_union": q_synth_union,
     "split_exact": q_split_exact,
+    "split_filtered": q_split_filtered,
     "split_hash": q_split_hash,
     "split_grouped": q_split_grouped,
     "line_count": q_line_count,

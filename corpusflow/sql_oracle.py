@@ -433,6 +433,11 @@ SELECT batch, pos,
 FROM takes"""
     s["synth_union"] = f"WITH {EXAMPLES} SELECT origin, ord, messages FROM examples"
     s["split_exact"] = f"WITH {EXAMPLES} SELECT origin, ord, pos, split FROM split"
+    s["split_filtered"] = f"""WITH {PASS},
+ordered AS (
+  SELECT ord, row_number() OVER (ORDER BY {bits('shuffle', "'item:' || ord")}, 'item:' || ord) - 1 AS pos, count(*) OVER () AS n FROM pass
+)
+SELECT ord, pos, CASE WHEN pos < (n * {K.TRAIN_PERCENT}) // 100 THEN 'train' ELSE 'val' END AS split FROM ordered"""
     s["split_hash"] = f"""WITH {EXAMPLES}
 SELECT origin, ord, CASE WHEN {bits('split', 'skey')} * 100 < {K.TRAIN_PERCENT} * 4294967296 THEN 'train' ELSE 'val' END AS split
 FROM keyed"""
