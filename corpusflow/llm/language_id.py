@@ -158,9 +158,11 @@ def training_sample(labelled: DataFrame, text_col: str, lang_col: str, rows: int
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     # rows by hash, under a threshold that leaves about eight times as many as
     # wanted: ranking never sees a language whole
-    share = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    near = texts.join(share, "lang").where(
-        (F.col("h").cast("double") + 2.0**63) / 2.0**64 <= F.lit(8.0 * rows) / F.col("n"))
+    share = {r.lang: r.n for r in texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # languages are few
+    if not share:
+        return []
+    limit = F.create_map(*[F.lit(x) for lang, n in share.items() for x in (lang, 8.0 * rows / n)])
+    near = texts.where((F.col("h").cast("double") + 2.0**63) / 2.0**64 <= limit[F.col("lang")])
     near = near.groupBy("lang", "h").agg(F.min("text").alias("text"))  # copies teach once
     first = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= rows)
     before = F.sum(F.char_length("text")).over(Window.partitionBy("lang").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
