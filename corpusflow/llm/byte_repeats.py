@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm.store import row_keyed, stored
-from corpusflow.llm.words import Block, U, blocks, mix
+from corpusflow.llm.words import Block, U, blocks, mix, repeated
 
 LENGTH, WINDOW, GRAM = 400, 128, 8
 
@@ -76,7 +76,11 @@ def anchors(block: Block, length: int = LENGTH, window: int = WINDOW) -> tuple[n
 
 def suffixes(docs: DataFrame, id_col: str, text_col: str, length: int, window: int) -> DataFrame:
     """The shards' sparse transforms: sym (first symbol), rest (tail, symbol before
-    and extent), doc_id, lo (first start), n (starts)."""
+    and extent), doc_id, lo (first start), n (starts), known.
+
+    Suffixes that are equal within a block are known to repeat: one of them
+    stands for all in the merge, the others are dealt out evenly.  So a symbol
+    that a large part of all suffixes share is one row a block."""
     core = length - window + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,14 +95,17 @@ def suffixes(docs: DataFrame, id_col: str, text_col: str, length: int, window: i
                 tail = block.span_hash(sums, at + core, hi + length)
                 before = block.span_hash(sums, lo, at)
                 rest = mix(tail ^ mix(before ^ ((hi - lo).astype(U) << U(8)), 3), 4)
+                known, later = repeated(mix(sym ^ mix(rest, 6), 7))
+                spread = np.flatnonzero(later)
+                sym[spread] = mix(sym[spread] + mix(at[spread].astype(U), 8), 9)
                 doc = np.searchsorted(block.off, lo, side="right") - 1
                 yield pa.RecordBatch.from_arrays([
                     pa.array(sym.view(np.int64)), pa.array(rest.view(np.int64)), ids.take(pa.array(row + doc)),
-                    pa.array((lo - block.off[doc]).astype(np.int64)), pa.array((hi - lo + 1).astype(np.int32))],
-                    ["sym", "rest", "doc_id", "lo", "n"])
+                    pa.array((lo - block.off[doc]).astype(np.int64)), pa.array((hi - lo + 1).astype(np.int32)), pa.array(known)],
+                    ["sym", "rest", "doc_id", "lo", "n", "known"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"sym long, rest long, doc_id {kind}, lo long, n int")
+    return docs.select(id_col, text_col).mapInArrow(run, f"sym long, rest long, doc_id {kind}, lo long, n int, known boolean")
 
 
 def _with_next(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.RecordBatch | None]]:
@@ -133,7 +140,7 @@ def intervals(order: DataFrame) -> DataFrame:
             above_rest, below_rest = up_rest[:-1], up_rest[1:]
             head = np.maximum.accumulate(np.where(~above, np.arange(n), -1))
             first = np.where(head >= 0, rest[np.maximum(head, 0)], opened if opened is not None else 0)
-            sure = above_rest | below_rest
+            sure = above_rest | below_rest | batch.column("known").to_numpy(zero_copy_only=False)
             shared = above | below                       # an interval of several suffixes
             mixed = shared & ((first != rest) | (below & ~below_rest))
             edge = (shared & ~sure) | (mixed & ~below_rest)  # of equal ones, the last stands for all
