@@ -24,7 +24,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark import TaskContext
 
 from corpusflow.llm.piece_table import PieceTable, batch_ids, gap_pieces
@@ -34,7 +33,6 @@ from corpusflow.llm.words import blocks
 SEQ_LEN, END_ID = 1024, 0
 #: Feature buckets, projected dimensions and bits of each on the curve.
 BUCKETS, DIMS, BITS = 512, 4, 10
-#: Bytes of Parquet input per range: a range is one task.
 COLUMNS = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 

@@ -200,7 +200,7 @@ def write_shards(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id"
                 pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))
 
         for batch in batches:
-            for row, end, ids, off in batch_ids(table, batch.column(0 if batch.num_columns == 1 else 1), word_pieces, tail=END_ID):
+            for row, end, ids, off in batch_ids(table, batch.column(1), word_pieces, tail=END_ID):
                 names = batch.column(0).slice(row, end - row).to_pylist()
                 at = 0
                 while at < len(names):

@@ -6,12 +6,10 @@ import re
 import zlib
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from corpusflow.llm import conversations, language_id, near_dedup, passages, quality_rules, queries
-from corpusflow.llm.words import Block, utf8
 from tests.conftest import SF_MID, SF_SMALL
 from tests.llm import cases
 from tests.llm.test_dedup_ops import covered, lower_ascii, near_brute

@@ -5,7 +5,6 @@ import random
 import zlib
 
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
