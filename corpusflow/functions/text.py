@@ -1,7 +1,7 @@
 """Text cleaning and n-gram expressions (Column -> Column).
 
-All of these are built-in Spark expressions, so they stay inside whole-stage
-codegen.  Regular expressions are spelled with explicit code-point classes
+All of these are built-in Spark expressions and run in the JVM; the regular
+expressions are generated code, the higher-order functions are interpreted.  Regular expressions are spelled with explicit code-point classes
 (see ``constants.WS_CLASS``) so the result equals a Python ``re`` based
 cleaner, not Java's narrower ``\\s``.
 """
