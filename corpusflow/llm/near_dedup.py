@@ -15,11 +15,12 @@ near copies costs two pairs per member.  Buckets whose texts then still lie in
 different classes go on: over the texts in them, a shingle that only one text
 holds can be in no intersection, so the weight of such shingles bounds every
 similarity of its text.  Texts that the bound sets apart from all others leave;
-the rest are paired with the text of least such weight, and what still differs
+the rest are compared with the bucket's text of least such weight.  As one minus
+the weighted Jaccard similarity is a metric, two texts whose distances from that
+middle differ by more than 0.2 cannot be similar; what is left and still differs
 in class is compared across classes, each pair in the first band it shares.  So
 every candidate pair of different texts in one bucket is in one class already,
-ruled out by an exact bound, or verified.  Classes are the connected
-components.
+ruled out by an exact bound, or verified.  Classes are the connected components.
 
 Defined results: a null or empty text, or one without words, is a class of its
 own; ties keep the smallest identifier; where identifiers are missing or
@@ -222,8 +223,8 @@ def weighted_jaccard(left: pa.Array, right: pa.Array, idf: np.ndarray) -> np.nda
     return out
 
 
-def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """The pairs (a, b) whose texts are similar, with their similarity.
+def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) whose texts have at least that similarity, with it.
 
     ``texts`` holds rep and text of all texts in question.  The weight bound
     passed before, so a text that many pairs share is at most 1 / 0.8 times as
@@ -237,7 +238,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
         for batch in batches:
             sim = weighted_jaccard(batch.column("ta"), batch.column("tb"), sent.value)
             out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sim)], ["a", "b", "similarity"])
-            yield out.filter(pa.array(sim >= SIMILARITY))
+            yield out.filter(pa.array(sim >= least))
 
     kind = pairs.schema["a"].dataType.simpleString()
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, f"a {kind}, b {kind}, similarity double")
@@ -293,24 +294,27 @@ def _across(rest: DataFrame, reps: DataFrame, texts: DataFrame, idf: np.ndarray,
     def allowed(a: str, b: str) -> Column:
         return F.least(f"m{a}", f"m{b}") >= part * (F.col(f"w{a}") + F.col(f"w{b}"))
 
-    middle = free.groupBy("band", "key").agg(
-        F.min(F.struct((-F.col("m") / F.col("w")).alias("f"), "rep", "w", "m", "root")).alias("c"))
-    near = free.join(middle, ["band", "key"]).select(
-        F.col("rep").alias("a"), F.col("w").alias("wa"), F.col("m").alias("ma"), "root", F.col("c.rep").alias("b"),
-        F.col("c.w").alias("wb"), F.col("c.m").alias("mb"), F.col("c.root").alias("root_b"))
-    near = near.where((F.col("root") != F.col("root_b")) & allowed("a", "b"))
-    more = stored(verified(_bounded(near), texts, idf), "near-links")
+    middle = free.groupBy("band", "key").agg(F.min(F.struct((-F.col("m") / F.col("w")).alias("f"), "rep")).alias("c")).select(
+        "band", "key", F.col("c.rep").alias("mid"))
+    free = stored(free.join(middle, ["band", "key"]), "near-middle")
+    pairs = free.where("rep <> mid").select(F.greatest("rep", "mid").alias("a"), F.least("rep", "mid").alias("b")).distinct()
+    known = stored(verified(pairs, texts, idf, least=0.0), "near-known")
+    more = known.where(F.col("similarity") >= SIMILARITY)
 
     free = _placed(free, links.unionByName(more)).join(reps.select("rep", "bands"), "rep")
+    far = known.select(F.col("a").alias("x"), F.col("b").alias("y"), (1 - F.col("similarity")).alias("d"))
+    free = free.join(far, (F.greatest("rep", "mid") == F.col("x")) & (F.least("rep", "mid") == F.col("y")), "left").drop("x", "y")
+    free = free.withColumn("d", F.coalesce("d", F.lit(0.0)))  # only the middle itself is in no pair
     free = stored(free.join(_mixed(free), ["band", "key"]), "near-free")
     if free.isEmpty():
         return more
-    one = free.select("band", "key", F.col("rep").alias("a"), F.col("w").alias("wa"), F.col("m").alias("ma"), "root", "bands")
-    two = free.select("band", "key", F.col("rep").alias("b"), F.col("w").alias("wb"), F.col("m").alias("mb"),
+    one = free.select("band", "key", F.col("rep").alias("a"), F.col("w").alias("wa"), F.col("m").alias("ma"), F.col("d").alias("da"), "root", "bands")
+    two = free.select("band", "key", F.col("rep").alias("b"), F.col("w").alias("wb"), F.col("m").alias("mb"), F.col("d").alias("db"),
                       F.col("root").alias("root_b"), F.col("bands").alias("bands_b"))
     shared = F.zip_with("bands", "bands_b", lambda x, y: x == y)
     cross = one.join(two, (one["band"] == two["band"]) & (one["key"] == two["key"]) & (F.col("root") > F.col("root_b"))
-                     & allowed("a", "b") & (F.array_position(shared, True) == one["band"] + 1))
+                     & allowed("a", "b") & (F.abs(F.col("da") - F.col("db")) <= 1 - SIMILARITY + _SLACK)
+                     & (F.array_position(shared, True) == one["band"] + 1))
     return more.unionByName(stored(verified(_bounded(cross), texts, idf), "near-links"))
 
 
@@ -343,7 +347,8 @@ def _near_dedup(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ).where("n > 1").select("band", "key", "c0", "c1")
     grouped = stored(keys.join(centres, ["band", "key"]), "near-buckets")
     names = grouped.select("rep").distinct()
-    texts = stored(docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(names, "rep"), "near-texts")
+    # both sides grow with the input, so they are joined alike at every size
+    texts = stored(docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(names.hint("merge"), "rep"), "near-texts")
     star = grouped.select(F.col("rep").alias("a"), F.col("w").alias("wa"), F.explode(F.array("c0", "c1")).alias("c")).select(
         "a", "wa", F.col("c.rep").alias("b"), F.col("c.w").alias("wb"))
     links = stored(verified(_bounded(star), texts, idf), "near-links")
