@@ -282,8 +282,9 @@ def _placed(keys: DataFrame, links: DataFrame) -> DataFrame:
     return keys.drop("root").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
 
 
-def _across(rest: DataFrame, reps: DataFrame, texts: DataFrame, idf: np.ndarray, links: DataFrame) -> DataFrame:
-    """Further links in buckets (band, key, rep, w, root) that hold several classes."""
+def _across(rest: DataFrame, reps: DataFrame, texts: DataFrame, idf: np.ndarray, tested: DataFrame) -> DataFrame:
+    """All links, once buckets (band, key, rep, w, root) that hold several classes
+    are settled; ``tested`` has the pairs compared so far."""
     # similarity s needs a common weight of s / (1 + s) of both weights together
     part = SIMILARITY / (1 + SIMILARITY) * (1 - _SLACK)
     own = _own_weight(texts.join(rest.select("rep").distinct(), "rep", "left_semi"), idf)
@@ -298,10 +299,11 @@ def _across(rest: DataFrame, reps: DataFrame, texts: DataFrame, idf: np.ndarray,
         "band", "key", F.col("c.rep").alias("mid"))
     free = stored(free.join(middle, ["band", "key"]), "near-middle")
     pairs = free.where("rep <> mid").select(F.greatest("rep", "mid").alias("a"), F.least("rep", "mid").alias("b")).distinct()
-    known = stored(verified(pairs, texts, idf, least=0.0), "near-known")
+    pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    known = stored(verified(pairs, texts, idf, least=0.0).unionByName(tested), "near-known")
     more = known.where(F.col("similarity") >= SIMILARITY)
 
-    free = _placed(free, links.unionByName(more)).join(reps.select("rep", "bands"), "rep")
+    free = _placed(free, more).join(reps.select("rep", "bands"), "rep")
     far = known.select(F.col("a").alias("x"), F.col("b").alias("y"), (1 - F.col("similarity")).alias("d"))
     free = free.join(far, (F.greatest("rep", "mid") == F.col("x")) & (F.least("rep", "mid") == F.col("y")), "left").drop("x", "y")
     free = free.withColumn("d", F.coalesce("d", F.lit(0.0)))  # only the middle itself is in no pair
@@ -315,7 +317,8 @@ def _across(rest: DataFrame, reps: DataFrame, texts: DataFrame, idf: np.ndarray,
     cross = one.join(two, (one["band"] == two["band"]) & (one["key"] == two["key"]) & (F.col("root") > F.col("root_b"))
                      & allowed("a", "b") & (F.abs(F.col("da") - F.col("db")) <= 1 - SIMILARITY + _SLACK)
                      & (F.array_position(shared, True) == one["band"] + 1))
-    return more.unionByName(stored(verified(_bounded(cross), texts, idf), "near-links"))
+    cross = _bounded(cross).join(known.select("a", "b"), ["a", "b"], "left_anti")
+    return more.unionByName(verified(cross, texts, idf))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -351,12 +354,14 @@ def _near_dedup(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     texts = stored(docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(names.hint("merge"), "rep"), "near-texts")
     star = grouped.select(F.col("rep").alias("a"), F.col("w").alias("wa"), F.explode(F.array("c0", "c1")).alias("c")).select(
         "a", "wa", F.col("c.rep").alias("b"), F.col("c.w").alias("wb"))
-    links = stored(verified(_bounded(star), texts, idf), "near-links")
+    # every pair is compared once: what was compared stays in a table
+    tested = stored(verified(_bounded(star), texts, idf, least=0.0), "near-tested")
+    links = tested.where(F.col("similarity") >= SIMILARITY)
 
     placed = stored(_placed(grouped.select("band", "key", "rep", "w"), links), "near-placed")
     rest = stored(placed.join(_mixed(placed), ["band", "key"]), "near-mixed")
     if not rest.isEmpty():
-        links = stored(links.unionByName(_across(rest, reps, texts, idf, links)), "near-links")
+        links = stored(_across(rest, reps, texts, idf, tested), "near-links")
     roots = stored(components(links), "near-roots")
 
     ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep")))
