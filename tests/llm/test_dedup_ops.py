@@ -209,6 +209,57 @@ def test_a_passage_that_many_documents_share(spark):
         assert found[i] >= set(range(40 + i, 100 + i))
 
 
+def verbatim_words_brute(a, b):
+    """Words of ``a`` in runs of 50 or more equal words, by a table over all word pairs."""
+    run, out = [0] * (len(b) + 1), set()
+    for i, w in enumerate(a):
+        new = [0] * (len(b) + 1)
+        for j, v in enumerate(b):
+            if w == v:
+                new[j + 1] = run[j] + 1
+                if new[j + 1] >= 50:
+                    out.update(range(i - new[j + 1] + 1, i + 1))
+        run = new
+    return out
+
+
+def runs_of(a, b):
+    x, y = grams_of([(0, a), (1, b)])
+    return passages.shared_runs(x, y)
+
+
+def test_parts_of_a_run_that_is_unlike_as_a_whole():
+    rng = random.Random(11)
+    p1, p2, other = cases.prose(rng, 60), cases.prose(rng, 60), cases.prose(rng, 20)
+    for b in (f"{p1} {other} {p2}", f"{p2} {other} {p1}", f"{p2} {other} {other} {p1}"):
+        words = {w for s, e, _, _, _ in runs_of(f"{p1} {p2}", b) for w in range(s, e + 5)}
+        assert words >= set(range(120)), b
+    # a verbatim paragraph, and one with a single edit, in a region edited every 12 words
+    for edits in (0, 1):
+        a = cases.prose(rng, 300).split(" ")
+        b = [f"new{i}" if i % 12 == 0 and not 120 <= i < 190 or edits and i == 155 else w for i, w in enumerate(a)]
+        words = {w for s, e, _, _, _ in runs_of(" ".join(a), " ".join(b)) for w in range(s, e + 5)}
+        assert words >= set(range(121, 190))
+        assert len(words) < 150
+
+
+def test_shared_runs_hold_every_verbatim_run():
+    rng = random.Random(12)
+    for case in range(60):
+        parts = [cases.prose(rng, rng.randint(20, 90)) for _ in range(4)] + [" ".join(["same line again"] * rng.randint(5, 30))]
+        a, b = (" ".join(rng.choice(parts) for _ in range(rng.randint(1, 6))).split(" ") for _ in range(2))
+        for text in (a, b):
+            for _ in range(rng.randint(0, 8)):
+                text[rng.randrange(len(text))] = f"new{rng.randint(0, 99)}"
+        found = runs_of(" ".join(a), " ".join(b))
+        fold = lambda words: [lower_ascii(w) for w in words]
+        assert {w for s, e, _, _, _ in found for w in range(s, e + 5)} >= verbatim_words_brute(fold(a), fold(b)), case
+        x, y = grams_of([(0, " ".join(a)), (1, " ".join(b))])
+        for s, e, o, p, sim in found:
+            one, two = set(x[s: e + 1].tolist()), set(y[o: p + 1].tolist())
+            assert e - s + 1 >= 46 and sim >= 0.8 and sim == len(one & two) / len(one | two)
+
+
 def test_cut_passages_keeps_the_rest(spark):
     rng = random.Random(6)
     common = cases.prose(rng, 70)
