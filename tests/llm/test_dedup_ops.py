@@ -209,6 +209,29 @@ def test_a_passage_that_many_documents_share(spark):
         assert found[i] >= set(range(40 + i, 100 + i))
 
 
+@pytest.mark.parametrize("holders", [60, 600])
+def test_passages_made_half_of_a_line_that_many_documents_hold(spark, holders):
+    rng = random.Random(13)
+    line = cases.prose(rng, 30)
+    rows = [(i, f"{cases.prose(rng, 40)} {line} {cases.prose(rng, 40)}") for i in range(holders)]
+    for k in range(40):  # 30 words of the line and 22 of their own, in two documents among the others
+        own = cases.prose(rng, 22)
+        both = f"{line} {own}" if k % 2 else f"{own} {line}"
+        first, second = holders + 2 * k, holders + 2 * k + 1
+        rows += [(first, f"{cases.prose(rng, 35)} {both} {cases.prose(rng, 30)}"), (second, f"{cases.prose(rng, 50)} {both} {cases.prose(rng, 30)}")]
+    order = list(range(len(rows)))
+    rng.shuffle(order)  # identifiers in any order: a pair's documents are neither first nor neighbours
+    named = {old: new for old, new in zip(range(len(rows)), order)}
+    found = covered(passages.passages(cases.frame(spark, [(named[i], t) for i, t in rows])).collect())
+    lost = []
+    for k in range(40):
+        one, two = holders + 2 * k, holders + 2 * k + 1
+        later, start = (two, 50) if named[one] < named[two] else (one, 35)
+        if not found.get(named[later], set()) >= set(range(start, start + 52)):
+            lost.append(k)
+    assert not lost, f"{len(lost)} of 40"
+
+
 def verbatim_words_brute(a, b):
     """Words of ``a`` in runs of 50 or more equal words, by a table over all word pairs."""
     run, out = [0] * (len(b) + 1), set()
