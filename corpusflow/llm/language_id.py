@@ -8,7 +8,7 @@ run of characters that are not letters is one space, letters that no language
 was seen with are one common mark.
 
 The automata are fitted on a bounded sample: per language the labelled texts
-of ``SAMPLE_ROWS`` rows (those with the smallest hash of their text), of which
+of ``SAMPLE_ROWS`` different ones (those with the smallest hash), of which
 at most ``SAMPLE_CHARS`` characters are kept.  Predictions read every text
 whole.  So that the characters of a batch are parsed side by side, a text is
 parsed in blocks of ``BLOCK`` characters, and a phrase ends with its block; the
@@ -156,9 +156,11 @@ def training_sample(labelled: DataFrame, text_col: str, lang_col: str, rows: int
     language comes to the driver; languages are few)."""
     texts = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
-    # rows by hash, under a threshold that leaves about eight times as many as
-    # wanted: ranking never sees a language whole
-    share = {r.lang: r.n for r in texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # languages are few
+    # texts by hash, under a threshold that leaves about eight times as many as
+    # wanted: ranking never sees a language whole.  Copies have one hash, so the
+    # threshold is set by the distinct ones (combined in each task first)
+    distinct = texts.select("lang", "h").distinct()
+    share = {r.lang: r.n for r in distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # languages are few
     if not share:
         return []
     limit = F.create_map(*[F.lit(x) for lang, n in share.items() for x in (lang, 8.0 * rows / n)])

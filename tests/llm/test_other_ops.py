@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corpusflow.llm import conversations, language_id, near_dedup, passages, quality_rules, queries
@@ -125,6 +126,15 @@ def test_training_sample_is_bounded_and_takes_copies_once(spark):
     assert [lang for lang, _ in got] == ["en"] and sum(map(len, got[0][1])) <= 100 and len(set(got[0][1])) == len(got[0][1])
 
 
+def test_a_language_of_copies_keeps_its_sample(spark):
+    rng = random.Random(14)
+    texts = ["copied text"] + [cases.prose(rng, 20) for _ in range(50)]
+    copies = spark.range(100_000).select(F.lit("xx").alias("lang"), F.lit(texts[0]).alias("text"))
+    rest = [("xx", t) for t in texts[1:]] + [("yy", cases.prose(rng, 20)) for _ in range(100)]
+    got = dict(language_id.training_sample(copies.unionByName(spark.createDataFrame(rest, "lang string, text string")), "text", "lang"))
+    assert sorted(got["xx"]) == sorted(texts) and len(got["yy"]) == 64
+
+
 def test_language_query_on_the_held_out_fold(spark):
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF_MID}/documents.parquet").select("doc_id", "lang").collect()}
     got = queries.op5_language_id(spark, SF_MID).collect()
