@@ -3,7 +3,7 @@
 The operators of this subpackage read whole texts in Arrow batches.  A batch
 is cut into blocks of a few MB of UTF-8 (a longer text is a block of its own),
 and each block is handled at once with numpy: word and line spans come from
-byte masks, and the hash of any byte range from one running polynomial sum.
+byte masks, and the hash of any byte range from running polynomial sums.
 """
 
 from __future__ import annotations
@@ -43,25 +43,92 @@ def _byte_table(fold_case: bool) -> np.ndarray:
 
 
 _TABLES = {False: _byte_table(False), True: _byte_table(True)}
+_CODES = {fold: np.array([c + 32 if fold and 65 <= c <= 90 else c for c in range(256)], dtype=U) + U(1) for fold in (False, True)}
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_powers: dict[int, np.ndarray] = {}
+
+#: The second sum is taken modulo a prime: sums modulo 2^64 alone are equal for
+#: some texts of much inner symmetry, whatever the radix.
+_PRIME = U((1 << 42) - 11)
+_CHUNK_BITS = 12
+_CHUNK = 1 << _CHUNK_BITS
+_ROOT = 0x2B7E151628A % int(_PRIME)
+_ROOT_INV = pow(_ROOT, -1, int(_PRIME))
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64; kept in the worker, sized for a block."""
-    have = _powers.get(base)
-    if have is not None and len(have) >= n:
-        return have[:n]
-    size = max(BLOCK_BYTES + 4096, n)
-    out = np.full(size, base, dtype=U)
-    out[0] = 1
-    out = np.multiply.accumulate(out)
-    if size <= 4 * BLOCK_BYTES:
-        _powers[base] = out
+    """base^0 .. base^(n-1) modulo 2^64."""
+    low = np.full(_CHUNK, base, dtype=U)
+    low[0] = 1
+    low = np.multiply.accumulate(low)
+    high = np.full((n >> _CHUNK_BITS) + 1, pow(base, _CHUNK, 1 << 64), dtype=U)
+    high[0] = 1
+    high = np.multiply.accumulate(high)
+    return np.multiply.outer(high, low).reshape(-1)[:n]
+
+
+_LOW_INV = _power(_RADIX_INV, _CHUNK)
+
+
+def _inverse(at: np.ndarray) -> np.ndarray:
+    """The inverse radix to the power of each position, modulo 2^64."""
+    high = _power(pow(_RADIX_INV, _CHUNK, 1 << 64), (int(at.max()) >> _CHUNK_BITS) + 1 if len(at) else 1)
+    return high[at >> _CHUNK_BITS] * _LOW_INV[at & (_CHUNK - 1)]
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime of numbers below it."""
+    return (((a * (b >> U(21))) % _PRIME << U(21)) + a * (b & U((1 << 21) - 1))) % _PRIME
+
+
+def _prime_powers(base: int, n: int) -> np.ndarray:
+    """base^0 .. base^(n-1) modulo the prime."""
+    out = np.ones(1, dtype=U)
+    while len(out) < n:
+        out = np.append(out, _times(out, np.full(len(out), pow(base, len(out), int(_PRIME)), dtype=U)))
     return out[:n]
 
 
+_IN_CHUNK, _IN_CHUNK_INV = _prime_powers(_ROOT, _CHUNK), _prime_powers(_ROOT_INV, _CHUNK)
+
+
+@dataclass
+class Sums:
+    """Running sums of the bytes of a block: modulo 2^64 before each position, and
+    modulo the prime before each chunk and inside the chunks."""
+
+    wide: np.ndarray
+    part: np.ndarray
+    head: np.ndarray
+    chunk: np.ndarray
+    chunk_inv: np.ndarray
+
+    @classmethod
+    def of(cls, data: np.ndarray, fold_case: bool) -> Sums:
+        n = len(data)
+        wide = np.zeros(n + 1, dtype=U)
+        np.cumsum(_TABLES[fold_case][data] * _power(_RADIX, n), out=wide[1:])
+        k = (n >> _CHUNK_BITS) + 1
+        codes = np.zeros((k, _CHUNK), dtype=U)
+        codes.reshape(-1)[:n] = _CODES[fold_case][data]
+        inner = np.cumsum(codes * _IN_CHUNK, axis=1)  # below 2^62
+        part = np.zeros((k, _CHUNK), dtype=U)
+        part[:, 1:] = inner[:, :-1]
+        chunk = _prime_powers(pow(_ROOT, _CHUNK, int(_PRIME)), k)
+        head = np.zeros(k, dtype=U)
+        head[1:] = np.cumsum(_times(inner[:, -1] % _PRIME, chunk))[:-1] % _PRIME
+        return cls(wide, part.reshape(-1), head, chunk, _prime_powers(pow(_ROOT_INV, _CHUNK, int(_PRIME)), k))
+
+    def before(self, at: np.ndarray) -> np.ndarray:
+        c = at >> _CHUNK_BITS
+        return self.head[c] + _times(self.part[at] % _PRIME, self.chunk[c])
+
+    def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The sum of each byte range modulo the prime, as if it began at 0."""
+        diff = (self.before(end) + U(2) * _PRIME - self.before(start)) % _PRIME
+        return _times(diff, _times(self.chunk_inv[start >> _CHUNK_BITS], _IN_CHUNK_INV[start & (_CHUNK - 1)]))
+
+
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and the offsets of its rows; null is empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -101,17 +168,15 @@ class Block:
     def space(self) -> np.ndarray:
         return _SPACE[self.data]
 
-    def running(self, fold_case: bool) -> np.ndarray:
-        """Polynomial sums of the bytes before each position."""
-        n = len(self.data)
-        out = np.zeros(n + 1, dtype=U)
-        np.cumsum(_TABLES[fold_case][self.data] * _power(_RADIX, n), out=out[1:])
-        return out
+    def running(self, fold_case: bool) -> Sums:
+        """Running sums of the bytes, for ``span_hash``."""
+        return Sums.of(self.data, fold_case)
 
-    def span_hash(self, run: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def span_hash(self, run: Sums, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of each byte range, with its length; equal bytes give equal hashes."""
-        h = (run[end] - run[start]) * _power(_RADIX_INV, len(self.data) + 1)[start]
-        return mix(h ^ ((end - start).astype(U) * U(_MULT)))
+        start, end = np.asarray(start, dtype=np.int64), np.asarray(end, dtype=np.int64)
+        h = (run.wide[end] - run.wide[start]) * _inverse(start)
+        return mix(h ^ ((end - start).astype(U) * U(_MULT)) ^ mix(run.span(start, end), 3))
 
     @cached_property
     def word_spans(self) -> tuple[np.ndarray, np.ndarray]:
