@@ -10,6 +10,7 @@ from corpusflow.llm.byte_repeats import remove_repeats
 from corpusflow.llm.conversations import maximal_conversations
 from corpusflow.llm.exact_dedup import exact_dedup
 from corpusflow.llm.language_id import held_out, identify, training_sample
+from corpusflow.llm.lexical_search import search
 from corpusflow.llm.near_dedup import near_dedup
 from corpusflow.llm.packing import pack
 from corpusflow.llm.passages import passages
@@ -83,6 +84,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("covered_words", "longest_repeat")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 11: the ten best documents of each benchmark item."""
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_passages": op1_passages,
     "op2_bpe": op2_bpe,
@@ -94,10 +100,12 @@ QUERIES = {
     "op8_byte_repeats": op8_byte_repeats,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_lexical_search": op11_lexical_search,
 }
 
 ORACLE_SQL = {
     "op6_conversations": sql.OP6,
     "op7_exact_dedup": sql.OP7,
     "op10_quality_rules": sql.OP10,
+    "op11_lexical_search": sql.OP11,
 }

@@ -72,3 +72,33 @@ g AS (SELECT ts, min(conv_id) AS conv_id, count(*) AS n_copies FROM c GROUP BY t
 SELECT c.conv_id, c.n_turns, g.n_copies, c.body AS text
 FROM g JOIN c USING (conv_id) WHERE g.ts NOT IN (SELECT ts FROM inner_)
 """
+
+#: Terms of the items against all documents; weights in doubles, the rest in
+#: 64-bit integers.
+OP11 = r"""
+WITH raw AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+),
+post AS (SELECT doc_id, term, count(*) AS tf FROM raw GROUP BY doc_id, term),
+len_ AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM post GROUP BY doc_id),
+tot AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS l FROM len_),
+df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM df, tot),
+q AS (
+  SELECT item_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+),
+qt AS (SELECT item_id, term, count(*) AS qtf FROM q GROUP BY item_id, term),
+s AS (
+  SELECT item_id, doc_id,
+    CAST(sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * nd) // l))))) AS BIGINT) AS score
+  FROM qt JOIN w USING (term) JOIN post USING (term) JOIN len_ USING (doc_id), tot
+  GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+WHERE rank <= 10
+"""

@@ -181,13 +181,16 @@ class Block:
     @cached_property
     def word_spans(self) -> tuple[np.ndarray, np.ndarray]:
         """Byte ranges of the words ``[^\\x20\\x09-\\x0D]+``; none crosses texts."""
-        solid = ~self.space
+        return self.runs(~self.space)
+
+    def runs(self, solid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Byte ranges of the longest runs of a byte mask inside the texts."""
         if not len(solid):
             none = np.zeros(0, dtype=np.int64)
             return none, none
         first, last = solid.copy(), solid.copy()
-        first[1:] &= self.space[:-1]
-        last[:-1] &= self.space[1:]
+        first[1:] &= ~solid[:-1]
+        last[:-1] &= ~solid[1:]
         inner = self.off[1:-1]
         inner = inner[(inner > 0) & (inner < len(solid))]
         first[inner] = solid[inner]
