@@ -15,6 +15,7 @@ from corpusflow.llm.near_dedup import near_dedup
 from corpusflow.llm.packing import pack
 from corpusflow.llm.passages import passages
 from corpusflow.llm.quality_rules import quality_rules
+from corpusflow.llm.simhash import simhash_dedup
 from corpusflow.llm.store import new_folder
 from corpusflow.llm.token_files import read_shards, write_shards
 from corpusflow.llm.tokens import encode_decode
@@ -89,6 +90,11 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 12: the fingerprint of every document and its component."""
+    return simhash_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_passages": op1_passages,
     "op2_bpe": op2_bpe,
@@ -101,6 +107,7 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
     "op10_quality_rules": op10_quality_rules,
     "op11_lexical_search": op11_lexical_search,
+    "op12_simhash": op12_simhash,
 }
 
 ORACLE_SQL = {
