@@ -9,6 +9,7 @@ from corpusflow.llm import sql
 from corpusflow.llm.byte_repeats import remove_repeats
 from corpusflow.llm.conversations import maximal_conversations
 from corpusflow.llm.exact_dedup import exact_dedup
+from corpusflow.llm.hard_negatives import hard_negatives, mined
 from corpusflow.llm.language_id import held_out, identify, training_sample
 from corpusflow.llm.lexical_search import search
 from corpusflow.llm.near_dedup import near_dedup
@@ -95,6 +96,11 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 13: the hard negatives of every anchor and positive."""
+    return hard_negatives(mined(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     "op1_passages": op1_passages,
     "op2_bpe": op2_bpe,
@@ -108,6 +114,7 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "op11_lexical_search": op11_lexical_search,
     "op12_simhash": op12_simhash,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL = {
@@ -115,4 +122,5 @@ ORACLE_SQL = {
     "op7_exact_dedup": sql.OP7,
     "op10_quality_rules": sql.OP10,
     "op11_lexical_search": sql.OP11,
+    "op13_hard_negatives": sql.OP13,
 }

@@ -3,12 +3,14 @@
 import math
 import random
 import re
+import struct
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from corpusflow.llm import lexical_search, queries, simhash
+from corpusflow.llm import hard_negatives, lexical_search, queries, simhash
 from tests.conftest import SF_SMALL
 from tests.llm import cases
 from tests.llm.test_dedup_ops import lower_ascii
@@ -167,3 +169,75 @@ def test_simhash_over_the_tables(spark):
     of = classes_brute(prints)
     got = queries.op12_simhash(spark, SF_SMALL).collect()
     assert sorted(map(tuple, got)) == sorted((i, f"{p:016x}", of[i]) for i, p in prints.items())
+
+
+# -- operator 13 ------------------------------------------------------------
+
+
+def negatives_brute(rows, every=100, k_pos=5, k_neg=10):
+    """Over lists of (vec_id, label, vector)."""
+    keep = [(i, lab, [math.floor(256 * x) for x in v]) for i, lab, v in rows
+            if None not in (i, lab, v) and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for a in range(len(keep)):
+        i, lab, v = keep[a]
+        if i % every:
+            continue
+        scored = sorted((-sum(x * y for x, y in zip(v, w)), j, b, lb) for b, (j, lb, w) in enumerate(keep))
+        for s, j, _, _ in [x for x in scored if x[3] == lab and x[2] != a][:k_pos]:
+            neg = [x for x in scored if x[3] != lab and 30 * -s <= 100 * -x[0] <= 90 * -s][:k_neg]
+            out += [(i, j, r + 1, m, -s, -t) for r, (t, m, _, _) in enumerate(neg)]
+    return sorted(out)
+
+
+VECTORS = "vec_id long, label int, embedding array<float>, row long, slot long, score int, rank int"
+
+
+def _vectors(rng, n, d, labels=4):
+    centre = [[rng.gauss(0, 1) for _ in range(d)] for _ in range(6)]
+    f32 = lambda x: struct.unpack("f", struct.pack("f", x))[0]
+    return [(i, rng.randrange(labels), [f32(c + rng.gauss(0, .5)) for c in rng.choice(centre)]) for i in range(n)]
+
+
+@pytest.mark.parametrize("anchors", [4096, 3])
+def test_negatives_on_odd_rows(spark, monkeypatch, anchors):
+    monkeypatch.setattr(hard_negatives, "ANCHORS", anchors)
+    monkeypatch.setattr(hard_negatives, "_STEP", 16)
+    rng = random.Random(9)
+    rows = _vectors(rng, 600, 6)
+    odd = [(700, None, [1.0] * 6), (None, 1, [1.0] * 6), (800, 1, None), (900, 1, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1000, 2, [float("nan")] * 6),
+           (1100, 2, [float("inf")] * 6), (1200, 0, [0.0] * 6), (1300, 0, [1.0, 2.0]), (1400, 1, []), (1500, 99, [5.0] * 6), (-100, 1, [2.0] * 6)]
+    rows += odd + [(2000 + i, 1, rows[200][2]) for i in range(30)] + [(2050 + i, 2, rows[200][2]) for i in range(30)]  # ties
+    rng.shuffle(rows)
+    extra = (1, 2, 3, 4)
+    docs = spark.createDataFrame([(i, lab, v, *extra) for i, lab, v in rows], VECTORS).repartition(5)
+    got = hard_negatives.hard_negatives(docs)
+    assert got.columns == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+    assert sorted(map(tuple, got.collect())) == negatives_brute(rows)
+
+
+def test_negatives_with_repeated_rows_large_components_and_nothing(spark):
+    rng = random.Random(2)
+    rows = [(i % 150 * 4, lab, [x * 1e6 for x in v]) for i, lab, v in _vectors(rng, 300, 3)]  # sums leave the doubles' integers
+    rows = [(i, lab, [float(round(x)) for x in v]) for i, lab, v in rows]
+    docs = spark.createDataFrame([(i, lab, [float(x) for x in v]) for i, lab, v in rows], "vec_id long, label int, embedding array<double>")
+    assert sorted(map(tuple, hard_negatives.hard_negatives(docs).collect())) == negatives_brute(rows)
+    assert hard_negatives.hard_negatives(docs.limit(0)).count() == 0
+    assert hard_negatives.hard_negatives(docs.where("vec_id % 100 <> 0")).count() == 0
+
+
+def test_the_walk_ends_early_and_loses_nothing():
+    rng = random.Random(4)
+    rows = _vectors(rng, 4000, 16)
+    vec = np.array([[math.floor(256 * x) for x in v] for _, _, v in rows], dtype=np.int64)
+    label, ids = np.array([r[1] for r in rows]), np.arange(len(rows))
+    own = ids[::50]
+    wants = hard_negatives.Wants(vec[own], own, label[own], np.arange(len(own)), np.full(len(own), -(2**62)), np.full(len(own), 2**62), 5, True)
+    best = hard_negatives.Best(wants)
+    formed = hard_negatives.walk(best, hard_negatives.clusters(wants.anchors), vec, ids, ids, label)
+    assert formed < 0.8 * len(own) * len(rows)
+    full = vec[own] @ vec.T
+    for a, o in enumerate(own):
+        fits = (label == label[o]) & (ids != o)
+        want = sorted(zip(-full[a][fits], ids[fits]))[:5]
+        assert sorted(zip(-best.score[best.slot == a], best.ident[best.slot == a])) == want
