@@ -23,6 +23,7 @@ HEADLINE = [
     "near_dup_pairs",      # J3/D2: exact similarity join
     "dedup_reference",     # D3: first-wins dedup
     "chat_messages",       # R1-R3, J5, P5: formatting
+    "split_exact",         # L2/L3 over the deduplicated examples
     "split_filtered",      # L2/L3 without the dedup
     "collect_items",       # E2
     "synthetic_examples",  # E3

@@ -95,7 +95,7 @@ DEBATE_TEMPLATES = [
     "What's the real truth about {topic} that nobody wants to hear?",
 ]
 
-# user prompts paired with synthetic takes
+# FIXED VALUES: user prompts paired with synthetic takes
 SYNTHETIC_USER_PROMPTS = [
     "Give me your hottest Kevin Durant take.",
     "Is KD the best scorer in NBA history?",
@@ -114,7 +114,10 @@ SYNTHETIC_USER_PROMPTS = [
     "Why don't people give KD enough credit?",
 ]
 
-# generation request defaults
+# FIXED VALUES: labels of the sort listings in the work list
+SORT_LABELS = ["__top__", "__hot__"]
+
+# FIXED VALUES: generation request defaults
 GENERATION_MODEL = "meta-llama/llama-3.1-8b-instruct"
 GENERATION_MAX_TOKENS = 2048
 GENERATION_TEMPERATURE = 0.9

@@ -44,3 +44,34 @@ def common_grams(a: np.ndarray, b: np.ndarray) -> int:
     gb, nb = np.unique(b, return_counts=True)
     _, i, j = np.intersect1d(ga, gb, assume_unique=True, return_indices=True)
     return int(np.minimum(na[i], nb[j]).sum())
+
+
+#: Buckets of a gram histogram: a fixed size, whatever the text.
+HISTOGRAM = 256
+
+
+def gram_histogram(grams: np.ndarray) -> bytes:
+    """Counts of the trigrams per hashed bucket: 16-bit numbers, 32-bit ones for a
+    text with more in a bucket."""
+    at = (grams.astype(np.uint64) * MIX_A) >> np.uint64(56)
+    counts = np.bincount(at.astype(np.int64), minlength=HISTOGRAM)
+    return counts.astype("<u2" if counts.max(initial=0) < 1 << 16 else "<u4").tobytes()
+
+
+def histograms(packed: list[bytes]) -> np.ndarray:
+    """The histograms of some texts, one row each."""
+    if all(len(x) == 2 * HISTOGRAM for x in packed):
+        return np.frombuffer(b"".join(packed), dtype="<u2").reshape(-1, HISTOGRAM)
+    return np.stack([np.frombuffer(x, dtype="<u2" if len(x) == 2 * HISTOGRAM else "<u4").astype(np.uint32) for x in packed])
+
+
+def part_names(tokens: np.ndarray, parts: int, seed: int) -> np.ndarray:
+    """Names of the subsets of a token set that fall into each of ``parts`` hashed
+    parts; equal subsets have equal names."""
+    z = tokens + np.uint64((seed * 0x9E3779B97F4A7C15) & (2**64 - 1))
+    z = (z ^ (z >> np.uint64(30))) * MIX_A
+    z = (z ^ (z >> np.uint64(27))) * MIX_B
+    z ^= z >> np.uint64(31)
+    out = np.zeros(parts, dtype=np.uint64)
+    np.add.at(out, ((z >> np.uint64(11)) % np.uint64(parts)).astype(np.int64), z * MIX_A)
+    return out

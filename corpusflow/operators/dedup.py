@@ -21,8 +21,11 @@ The plan:
    powers of 5/4) is part of the join key, so texts outside the length filter
    never meet; and of the tokens a pair shares, the first leaves room for the
    needed overlap, ``9 (1 + min(sz_a - p_a, sz_b - p_b)) > 4 (sz_a + sz_b)``.
-4. Exact verification on packed trigrams.
-5. Resolution: lexicographically-first maximal independent set, in rounds: a
+4. A bound before texts move: a histogram of a text's trigrams over 256 hashed
+   buckets; two texts share at most the sum of the smaller counts.  Only pairs
+   whose bound reaches the threshold fetch their texts.
+5. Exact verification on packed trigrams.
+6. Resolution: lexicographically-first maximal independent set, in rounds: a
    text with no undecided earlier neighbour is kept, its later neighbours are
    dropped.  Decisions are appended to a table in the shared folder; rounds go
    on until every text is decided.
@@ -38,7 +41,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow import constants as K
-from corpusflow.functions.grams import common_grams, packed_grams, token_names
+from corpusflow.functions.grams import common_grams, gram_histogram, histograms, packed_grams, part_names, token_names
 from corpusflow.functions.text import char_ngrams
 from corpusflow.session import ensure_checkpoint_dir, materialize, scratch_path
 
@@ -145,9 +148,7 @@ def prefix_rows(low: DataFrame) -> DataFrame:
                                              tok[order].view(np.int64), np.arange(1, n + 1))):
                         col.append(x)
             if cols[0]:
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c), t) for c, t in zip(cols, types)], ["rk", "sz", "band", "up", "tok", "p"])
+                yield _prefix_batch(cols)
 
     return low.mapInArrow(run, "rk long, sz long, band int, up boolean, tok long, p long")
 
@@ -165,6 +166,38 @@ def _candidates(first: DataFrame, second: DataFrame) -> DataFrame:
     return a.join(b, on).select("rk_a", "rk_b").distinct()
 
 
+def gram_histograms(low: DataFrame) -> DataFrame:
+    """``(rk, hist)``: the gram histogram of every text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [gram_histogram(packed_grams(t.as_py())) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["rk", "hist"])
+
+    return low.select("rk", "low").mapInArrow(run, "rk long, hist binary")
+
+
+# rows whose histograms are held as numbers at a time
+_BOUND_ROWS = 4096
+
+
+def possible(pairs: DataFrame, hist: DataFrame) -> DataFrame:
+    """The pairs whose histograms leave room for the threshold: the texts share at
+    most the sum of the smaller counts, so no similar pair is lost."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, _BOUND_ROWS):
+                some = batch.slice(lo, _BOUND_ROWS)
+                a, b = (histograms(some.column(c).to_pylist()) for c in ("hist_a", "hist_b"))
+                most = np.minimum(a, b).sum(axis=1, dtype=np.int64)
+                total = a.sum(axis=1, dtype=np.int64) + b.sum(axis=1, dtype=np.int64)
+                fits = (K.JACCARD_DEN + K.JACCARD_NUM) * most > K.JACCARD_NUM * total
+                yield some.select(["rk_a", "rk_b"]).filter(pa.array(fits))
+
+    ha = hist.select(F.col("rk").alias("rk_a"), F.col("hist").alias("hist_a"))
+    hb = hist.select(F.col("rk").alias("rk_b"), F.col("hist").alias("hist_b"))
+    return pairs.join(ha, "rk_a").join(hb, "rk_b").select("rk_a", "rk_b", "hist_a", "hist_b").mapInArrow(run, "rk_a long, rk_b long")
+
+
 def _verified(pairs: DataFrame, low: DataFrame) -> DataFrame:
     """The pairs above the threshold: ``rk_a, rk_b, inter, sz_a, sz_b``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,11 +242,51 @@ def near_dup_pairs(texts: DataFrame) -> DataFrame:
     """
     low = materialize(_lowered(texts))
     rows = materialize(prefix_rows(low))
-    return materialize(_verified(materialize(_candidates(rows, rows)), low))
+    hist = materialize(gram_histograms(low))
+    return materialize(_verified(materialize(possible(_candidates(rows, rows), hist)), low))
+
+
+def refined_rows(low: DataFrame, members: DataFrame, level: int) -> DataFrame:
+    """Rows ``(rk, sz, band, up, tok, p)`` that put the texts of large groups into
+    smaller ones, so that similar texts still meet.
+
+    Two similar texts of one length band differ in fewer than ``n`` tokens, with
+    ``n`` a ninth of the two largest sizes of the band together.  Dealt over ``n``
+    hashed parts, their tokens are the same in one part at least, so a text joins
+    the groups of its subsets in all parts.  Unlike texts agree in few parts.
+    ``members`` has rk, band, up and key (what the texts have shared so far).
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols: list[list[np.ndarray]] = [[] for _ in range(6)]
+            rows = zip(*(batch.column(c).to_pylist() for c in ("rk", "band", "up", "key")), batch.column("low"))
+            for rk, band, up, key, text in rows:
+                tok = token_names(packed_grams(text.as_py()))
+                largest = int((K.JACCARD_DEN / K.JACCARD_NUM) ** (band + 1)) + 1
+                n = 2 * largest // (K.JACCARD_DEN + K.JACCARD_NUM) + 1
+                name = part_names(tok, n, level)
+                name = token_names(name.view(np.int64) ^ (np.arange(n) * 0x2545F4914F6CDD1D) ^ np.int64(key))
+                for col, x in zip(cols, (np.full(n, rk), np.full(n, len(tok)), np.full(n, band), np.full(n, up), name.view(np.int64), np.ones(n))):
+                    col.append(x)
+                if sum(map(len, cols[0])) > 200_000:
+                    yield _prefix_batch(cols)
+                    cols = [[] for _ in range(6)]
+            if cols[0]:
+                yield _prefix_batch(cols)
+
+    return members.join(low, "rk").mapInArrow(run, "rk long, sz long, band int, up boolean, tok long, p long")
+
+
+def _prefix_batch(cols: list[list[np.ndarray]]) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate(c), t) for c, t in zip(cols, types)], ["rk", "sz", "band", "up", "tok", "p"])
 
 
 # members of one prefix-token group each text is compared with per round
 FANOUT = 1000
+# and in a round that only takes the near-copies out of large groups
+SWEEP = 16
 
 
 # rows of one group a single task ranks when picking its first members
@@ -252,23 +325,40 @@ def first_wins_bounded(texts: DataFrame, fanout: int = FANOUT) -> DataFrame:
     any text similar to a kept text is dropped.  Undecided texts go to the
     next round.  The smallest undecided text is always complete and kept, so
     every round decides something; groups of at most ``fanout`` members are
-    settled in the first round.  A cluster of m near-copies costs
-    ``fanout * m`` comparisons instead of ``m * m``.
+    settled in one round.
+
+    While a group is larger, two kinds of rounds alternate.  A sweep compares
+    its members with its first ``SWEEP`` only: that takes a cluster of near-copies
+    out of it for a few comparisons each.  Then the large groups are refined
+    (:func:`refined_rows`): texts that merely share frequent tokens part, a level
+    at a time, until the groups are small.  So neither m near-copies nor m unlike
+    texts cost ``m * m`` comparisons or ``m / fanout`` rounds.
     """
     spark = texts.sparkSession
     ensure_checkpoint_dir(spark)
     low = materialize(_lowered(texts))
     prefix = materialize(prefix_rows(low))
+    hist = materialize(gram_histograms(low))
     und = materialize(prefix.select("rk").distinct())
     decided = scratch_path(spark, "first-wins")
-    left = und.count()
+    left, level, swept, refined = und.count(), 0, False, None
     while left:
         pu = materialize(prefix.join(und, "rk", "left_semi"))
-        flags = first_members(pu.select("rk", "band", "tok"), fanout).withColumn("lead", F.lit(True))
+        large = materialize(pu.groupBy("band", "tok").agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > fanout).drop("_m"))
+        some = not large.isEmpty()
+        if some and swept:
+            level += 1
+            # at first the token itself is let go: a text may be in many large groups
+            key = F.lit(0).cast("long") if refined is None else F.col("tok")
+            members = pu.join(large, ["band", "tok"], "left_semi").select("rk", "band", "up", key.alias("key")).distinct()
+            refined = refined_rows(low, members, level)
+            pu = prefix = materialize(pu.join(large, ["band", "tok"], "left_anti").select("rk", "sz", "band", "up", "tok", "p").unionByName(refined))
+        swept = some and not swept
+        flags = first_members(pu.select("rk", "band", "tok"), min(SWEEP, fanout) if swept else fanout).withColumn("lead", F.lit(True))
         marked = materialize(pu.join(flags, ["rk", "band", "tok"], "left"))
         complete = marked.groupBy("rk").agg(F.bool_and(F.coalesce("lead", F.lit(False))).alias("all_lead")).where("all_lead").select("rk")
         pairs = _candidates(marked.where("lead").drop("lead"), marked.drop("lead"))
-        edges = _verified(materialize(pairs), low).select(F.col("rk_a").alias("a"), F.col("rk_b").alias("b"))
+        edges = _verified(materialize(possible(pairs, hist)), low).select(F.col("rk_a").alias("a"), F.col("rk_b").alias("b"))
         _resolve_round(materialize(edges), materialize(complete), decided)
         und = materialize(und.join(spark.read.parquet(decided), "rk", "left_anti"))
         before, left = left, und.count()

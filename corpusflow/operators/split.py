@@ -4,8 +4,8 @@
 split puts the first ``floor(n * 95 / 100)`` examples in ``u`` order into
 train, like cutting a shuffled list.  Global positions are computed without
 a single-task sort: ``u`` is uniform, so ``floor(u * B)`` cuts the rows into
-``B`` buckets of similar size; per-bucket counts (B rows) give each bucket's
-offset, and a window inside each bucket numbers its rows.  Buckets are a
+``B`` buckets of similar size; the running totals of the buckets' counts give
+their offsets, and a window inside each bucket numbers its rows.  Buckets are a
 pure function of the key, so a re-run after an executor loss computes the
 same positions.
 """
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from corpusflow import constants as K
 from corpusflow.functions.rand import seeded_bits
+from corpusflow.operators.prefix import running_before
 from corpusflow.session import materialize
 
 # rows per bucket the exact split aims for: a task numbers one bucket at a time
@@ -36,25 +37,29 @@ def global_position(df: DataFrame, n: int | None = None, rows_per_bucket: int =
     b = F.floor(F.col("u") * buckets / F.lit(1 << 32)).cast("int")
     with_b = df.withColumn("_b", b)
     counts = with_b.groupBy("_b").agg(F.count(F.lit(1)).alias("_cnt"))
-    # one row per bucket, so numbering them in one task is small; the join side
-    # is broadcast only if Spark finds it below its own size limit
-    counts = counts.withColumn(
-        "_off", F.coalesce(F.sum("_cnt").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).drop("_cnt")
+    counts = running_before(counts, "_b", "_cnt", "_off", 0, buckets - 1).drop("_cnt")
     w = Window.partitionBy("_b").orderBy("u", "skey")
     out = with_b.join(counts, "_b")
     return out.withColumn("pos", F.col("_off") + F.row_number().over(w) - 1).drop("_b", "_off")
 
 
+def train_rows(n: int, train_percent: int = K.TRAIN_PERCENT) -> int:
+    """L3: how many of ``n`` examples go to train."""
+    return (n * train_percent) // 100
+
+
+def split_of(pos: Column, train: int) -> Column:
+    """L3: the side of an example by its position."""
+    return F.when(pos < train, F.lit("train")).otherwise(F.lit("val"))
+
+
 def split_exact(df: DataFrame, key: Column, seed: int = K.SEED, train_percent: int = K.TRAIN_PERCENT) -> DataFrame:
     """L3 (exact): ``split`` = train for the first ``floor(n*p/100)`` rows in
     seeded order, else val.  Adds ``pos`` and ``split``."""
     # read three times below (count, bucket counts, numbering): materialise once
     ordered = materialize(seeded_order(df, key, seed))
     n = ordered.count()
-    cut = (n * train_percent) // 100
-    pos = global_position(ordered, n)
-    return pos.withColumn("split", F.when(F.col("pos") < cut, F.lit("train")).otherwise(F.lit("val")))
+    return global_position(ordered, n).withColumn("split", split_of(F.col("pos"), train_rows(n, train_percent)))
 
 
 def split_hash(df: DataFrame, key: Column, seed: int = K.SEED, train_percent: int = K.TRAIN_PERCENT) -> DataFrame:

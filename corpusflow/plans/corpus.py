@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from corpusflow import constants as K
 from corpusflow import schemas as S
 from corpusflow.operators.chatfmt import format_examples
-from corpusflow.operators.counts import stage_counts
+from corpusflow.operators.counts import observed
 from corpusflow.operators.dedup import dedup
 from corpusflow.operators.quality import passes_filter, with_texts
-from corpusflow.operators.split import global_position, seeded_order, split_exact, split_grouped
-from corpusflow.session import materialize
+from corpusflow.operators.split import global_position, seeded_order, split_grouped, split_of, train_rows
+from corpusflow.session import written
 from corpusflow.sources.readers import split_quarantine
 
 
@@ -42,37 +42,45 @@ def answer_text(messages: str) -> F.Column:
 
 def build_corpus(items: DataFrame, synthetic: DataFrame | None = None, system_prompt: str = K.DEFAULT_SYSTEM_PROMPT,
                  seed: int = K.SEED, mode: str = "reference", split: str = "exact") -> CorpusResult:
+    # A1: every stage's rows are counted by the job that computes them
+    raw, n_raw = observed(items)
     if S.CORRUPT in items.columns:
-        good, bad = split_quarantine(items)
+        good, bad = split_quarantine(raw)[0], split_quarantine(items)[1]
     else:
-        good, bad = items, items.limit(0).withColumn("reason", F.lit(None).cast("string"))
+        good, bad = raw, items.limit(0).withColumn("reason", F.lit(None).cast("string"))
 
-    kept = clean_filter(good)
-    # persisted: it feeds the dedup, the stage counts and the formatting
-    kept = materialize(kept.select("id", "ord", "text", "topic"))
-    deduped = dedup(kept, "text", "ord", mode=mode)
+    # written once: it feeds the dedup and the formatting
+    kept, n_kept = observed(clean_filter(good).select("id", "ord", "text", "topic"))
+    kept = written(kept, "corpus-kept")
+    deduped, n_deduped = observed(dedup(kept, "text", "ord", mode=mode))
 
     examples = format_examples(deduped, system_prompt=system_prompt, key="ord", seed=seed).select(
         F.lit("item").alias("origin"), "ord", "messages"
     )
+    n_synthetic = None
     if synthetic is not None:
-        examples = examples.unionByName(synthetic.select(F.lit("synthetic").alias("origin"), "ord", "messages"))
+        synthetic, n_synthetic = observed(synthetic.select(F.lit("synthetic").alias("origin"), "ord", "messages"))
+        examples = examples.unionByName(synthetic)
 
     key = F.concat_ws(":", F.col("origin"), F.col("ord").cast("string"))
-    if split == "exact":
-        out = split_exact(examples, key, seed=seed)
-    elif split == "grouped":
-        # by the answer; positions are numbered as in the exact split
-        out = global_position(seeded_order(split_grouped(examples, answer_text("messages"), seed=seed), key, seed))
-    else:
+    n_train = None
+    if split == "grouped":  # by the answer; positions are numbered as in the exact split
+        examples, n_train = observed(split_grouped(examples, answer_text("messages"), seed=seed), F.col("split") == "train")
+    elif split != "exact":
         raise ValueError(f"unknown split {split!r}")
-
-    stages = {"raw": items, "filtered": kept, "deduped": deduped}
-    if synthetic is not None:
-        stages["synthetic"] = synthetic
-    stages["train"] = out.where(F.col("split") == "train")
-    stages["val"] = out.where(F.col("split") == "val")
-    return CorpusResult(examples=out, quarantine=bad, stages=stage_counts(stages))
+    ordered, n_all = observed(seeded_order(examples, key, seed))
+    ordered = written(ordered, "corpus-ordered")
+    total = n_all.get["n"]
+    train = n_train.get["n"] if n_train else train_rows(total)
+    out = global_position(ordered, total)
+    out = out if n_train else out.withColumn("split", split_of(F.col("pos"), train))
+
+    stages = [("raw", n_raw.get["n"]), ("filtered", n_kept.get["n"]), ("deduped", n_deduped.get["n"])]
+    if n_synthetic is not None:
+        stages.append(("synthetic", n_synthetic.get["n"]))
+    # a split without rows has a count of zero
+    stages += [("train", train), ("val", total - train)]
+    return CorpusResult(examples=out, quarantine=bad, stages=items.sparkSession.createDataFrame(stages, "stage string, n long"))
 
 
 def write_corpus(result: CorpusResult, out_dir: str, ascii_escape: bool = False) -> None:

@@ -8,30 +8,34 @@ hash the same in both engines.
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow import constants as K
 from corpusflow.functions import text as T
-from corpusflow.functions.chat import flatten_messages, render_chat, to_prompt_messages
+from corpusflow.functions.chat import flatten_messages, render_chat, render_quarantine, render_with, to_prompt_messages
 from corpusflow.functions.rand import seeded_bits
 from corpusflow.functions.takes import completion_content, strip_fence, take_status
 from corpusflow.operators import dedup as D
 from corpusflow.operators import ingest as I
 from corpusflow.operators import quality as Q
 from corpusflow.operators.chatfmt import choose_templates, format_examples, generation_requests
-from corpusflow.operators.counts import count_by, stage_counts
+from corpusflow.operators.counts import SKETCH_BITS, count_by, id_sketch, stage_counts, united_count
+from corpusflow.operators.prefix import running_before
 from corpusflow.operators.split import split_exact, split_grouped, split_hash
 from corpusflow.operators.synth import take_quarantine, take_rows, trim_takes
 from corpusflow.plans.collect import collect_items
 from corpusflow import schemas as S
 from corpusflow.plans.corpus import answer_text, build_corpus, clean_filter, write_corpus
-from corpusflow.plans.synthetic import build_synthetic
+from corpusflow.plans.synthetic import build_synthetic, numbered_topics, request_loop
 from corpusflow.session import ensure_checkpoint_dir, materialize, scratch_path
 from corpusflow.sources import tables as TB
 from corpusflow.sources.payloads import explode_comments, explode_listing
-from corpusflow.sources.readers import read_chat, read_items, split_quarantine
-from corpusflow.streaming.ingest import completed_sink, item_stream, new_ids_only, run_available
+from corpusflow.sources.readers import read_chat, read_items, read_prompt, split_quarantine
+from corpusflow.streaming.appends import append_once, read_appended
+from corpusflow.streaming.collect import Collection
+from corpusflow.streaming.ingest import completed_sink, item_stream, new_ids_only, run_available, state_settings
 
 GENERATION_PROMPT = "Write {count} short, confident takes about {topic}. Answer with a JSON array of strings."
 
@@ -245,6 +249,15 @@ def q_chat_render(spark, sf):
     return conv.select("conv_id", render_chat("messages").alias("text"))
 
 
+def q_chat_render_hook(spark, sf):
+    """Conversations rendered by a caller's Python function."""
+    def renderer(some):
+        return ["".join(K.CHAT_PREFIX.format(role=m["role"]) + m["content"] + K.CHAT_SUFFIX for m in x) for x in some]
+
+    conv = TB.conversation_examples(TB.table(spark, sf, "conversations"))
+    return render_quarantine(render_with(conv, renderer))[0].select("conv_id", "text")
+
+
 def q_trigram_counts(spark, sf):
     """Trigram count and distinct trigrams of every distinct passing text."""
     texts = D.distinct_texts(_passing(spark, sf))
@@ -319,6 +332,45 @@ def q_item_quarantine(spark, sf):
     return both.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score"))
 
 
+def q_id_counts(spark, sf):
+    """A2 over four runs: the exact number of identifiers up to each run, and
+    whether the estimate from the runs' stored sketches lies within three
+    standard errors of it."""
+    ensure_checkpoint_dir(spark)
+    docs = TB.table(spark, sf, "documents")
+    ids = docs.select((F.col("doc_id") % 4).alias("run"), F.floor(F.col("doc_id") / 6).cast("string").alias("id"))
+    table = scratch_path(spark, "id-sketches")
+    for run in range(4):  # one after the other, each knows its own rows only
+        append_once(id_sketch(ids.where(F.col("run") == run)).select(F.lit(run).cast("long").alias("run"), "sketch"), table, run)
+    estimate = united_count(read_appended(spark, table, "run long, sketch binary"), "run")
+    first = ids.groupBy("id").agg(F.min("run").alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    runs = estimate.join(first, "run", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    exact = running_before(runs, "run", "n", "n_before").select("run", (F.col("n_before") + F.col("n")).alias("n_ids"), "estimate")
+    bound = 3 * 1.04 / 2 ** (SKETCH_BITS / 2)
+    return exact.select("run", "n_ids", (F.abs(F.col("estimate") - F.col("n_ids")) <= F.col("n_ids") * bound + 1).alias("within_bound"))
+
+
+def q_item_offset_order(spark, sf):
+    """S1 in one scan: items read back in the order of their byte offsets."""
+    ensure_checkpoint_dir(spark)
+    path = scratch_path(spark, "items_offsets")
+    TB.items_from_documents(TB.table(spark, sf, "documents")).repartitionByRange("ord").sortWithinPartitions("ord").drop("ord").write.json(path)
+    back = read_items(spark, [path], order="offset")
+    return running_before(back, "ord", F.lit(1), "line").select("id", "line", "body")
+
+
+def q_prompt_file(spark, sf):
+    """A prompt file (the first benchmark text, with white space around) as
+    the system turn of every benchmark item."""
+    ensure_checkpoint_dir(spark)
+    b = TB.table(spark, sf, "benchmark")
+    path = scratch_path(spark, "prompt")
+    first = b.orderBy("item_id").limit(1)
+    first.select(F.concat(F.lit(" \n\t"), F.col("text"), F.lit("\n\n "))).coalesce(1).write.text(path)
+    m = to_prompt_messages(F.lit(read_prompt(spark, path)), F.col("text"))
+    return b.select("item_id", flatten_messages(m).alias("messages"))
+
+
 def q_near_dup_pairs(spark, sf):
     texts = materialize(D.distinct_texts(_passing(spark, sf)))
     return D.near_dup_pairs(texts)
@@ -366,6 +418,13 @@ def q_take_quarantine(spark, sf):
     return take_quarantine(TB.completions(TB.table(spark, sf, "documents"))).select("batch", "status")
 
 
+def q_request_loop(spark, sf):
+    """E3's loop: seeded topics, running totals, the batch that reaches the target."""
+    comp = TB.completions(TB.table(spark, sf, "documents"))
+    topics = numbered_topics(TB.table(spark, sf, "benchmark"), "item_id", "text")
+    return request_loop(comp, topics)
+
+
 def q_synthetic_examples(spark, sf):
     """Every take with a seeded user prompt."""
     res = build_synthetic(TB.completions(TB.table(spark, sf, "documents")))
@@ -468,6 +527,90 @@ def q_stream_new_ids(spark, sf):
     return spark.read.parquet(out).select("user_id")
 
 
+def _landing_run(q: F.Column, page_no: F.Column) -> F.Column:
+    """The run in which a page lands: out of order, and the first page of some
+    queries lands broken at first (see :func:`_land_pages`)."""
+    return F.when((q % 6 == 1) & (page_no == 0), 2).otherwise((q + page_no) % 3)
+
+
+def _land_pages(pages: DataFrame, run: int, folder: str) -> None:
+    at = F.to_timestamp(F.lit(f"2024-01-0{run + 1} 00:00:00"))
+    q, no = F.col("q"), F.col("page_no")
+    here = pages.where(_landing_run(q, no) == run)
+    if run == 0:  # a fetch that broke off
+        cut = pages.where((q % 6 == 1) & (no == 0)).withColumn("payload", F.substring("payload", 1, 20))
+        here = here.unionByName(cut)
+    here.withColumn("landed_at", at).write.mode("append").parquet(folder)
+
+
+def q_stream_collect(spark, sf):
+    """E2 as three incremental runs over growing folders; the second one dies
+    between its append and its checkpoint, and is started again."""
+    ensure_checkpoint_dir(spark)
+    docs = TB.table(spark, sf, "documents")
+    base = scratch_path(spark, "collection")
+    pages, comments, seen = TB.listing_pages(docs), TB.comment_pages(docs), TB.seen_ids(TB.table(spark, sf, "labels"))
+    collection = Collection(spark, f"{base}/state", f"{base}/pages", f"{base}/comments")
+
+    def die(table: str, batch: int) -> None:
+        if table == "items":
+            raise InterruptedError("the run dies here")
+
+    for run in range(3):
+        _land_pages(pages, run, f"{base}/pages")
+        mine = F.pmod(F.xxhash64("post_id"), F.lit(3)) == run
+        comments.where(mine).withColumn("landed_at", F.to_timestamp(F.lit(f"2024-01-0{run + 1} 00:00:00"))).write.mode("append").parquet(f"{base}/comments")
+        if run == 1:
+            try:
+                collection.run(run, seen, after_append=die)
+            except StreamingQueryException:
+                pass  # as meant: the batch is in the table, the checkpoint does not know
+        collection.run(run, seen)
+    return collection.items().select("id", "type", "q", "page_no", "pos", "sub", "title", "post_title", "score")
+
+
+def q_stream_walks(spark, sf):
+    """The labels of ended walks over three runs, why and in which run."""
+    ensure_checkpoint_dir(spark)
+    base = scratch_path(spark, "walks")
+    pages = TB.listing_pages(TB.table(spark, sf, "documents"))
+    collection = Collection(spark, f"{base}/state", f"{base}/pages", f"{base}/comments")
+    for run in range(3):
+        _land_pages(pages, run, f"{base}/pages")
+        collection.walk(run)
+    return collection.completed()
+
+
+def q_append_replay(spark, sf):
+    """K1: three batches appended; one is replayed, one is half-written."""
+    ensure_checkpoint_dir(spark)
+    docs = TB.table(spark, sf, "documents").select("doc_id", "text")
+    table = scratch_path(spark, "appends")
+    for batch in (0, 1, 2, 1):
+        append_once(docs.where(F.col("doc_id") % 3 == batch), table, batch)
+    docs.where("doc_id % 3 = 0").write.parquet(f"{table}/data/batch=3")  # not in the manifest
+    return read_appended(spark, table, docs.schema)
+
+
+def q_stream_bounded(spark, sf):
+    """T2 with bounded state: one row per user, event type and period of ten
+    days, from events that land out of order.  A row may be a period late; rows
+    that land after the watermark has passed their period are dropped."""
+    ensure_checkpoint_dir(spark)
+    base = scratch_path(spark, "bounded")
+    period = F.floor(F.datediff(F.col("ts"), F.lit("2024-01-01")) / 10).cast("int")
+    ev = TB.table(spark, sf, "events").select("event_id", "user_id", "event_type", period.alias("period"))
+    ev = ev.withColumn("at", F.to_timestamp(F.date_add(F.lit("2024-01-01"), F.col("period") * 10)))
+    lands = F.when(F.col("event_id") % 97 == 0, 4).when(F.col("event_id") % 17 == 0, F.col("period") + 1).otherwise(F.col("period"))
+    for run in range(5):
+        ev.where(lands == run).write.mode("append").parquet(f"{base}/landing")
+        with state_settings(spark):
+            stream = item_stream(spark, f"{base}/landing", fmt="parquet", schema=ev.schema)
+            fresh = new_ids_only(stream, ["user_id", "event_type", "period"], "at", "10 days")
+            run_available(fresh.select("user_id", "event_type", "period"), f"{base}/out", f"{base}/state")
+    return spark.read.parquet(f"{base}/out")
+
+
 def q_stream_completed(spark, sf):
     """Finished search labels recorded once by a foreachBatch sink."""
     ensure_checkpoint_dir(spark)
@@ -540,4 +683,13 @@ QUERIES = {
     "read_splits": q_read_splits,
     "stream_new_ids": q_stream_new_ids,
     "stream_completed": q_stream_completed,
+    "stream_collect": q_stream_collect,
+    "stream_walks": q_stream_walks,
+    "stream_bounded": q_stream_bounded,
+    "append_replay": q_append_replay,
+    "id_counts": q_id_counts,
+    "item_offset_order": q_item_offset_order,
+    "prompt_file": q_prompt_file,
+    "request_loop": q_request_loop,
+    "chat_render_hook": q_chat_render_hook,
 }

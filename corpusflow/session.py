@@ -57,6 +57,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def written(df, name: str):
+    """Write ``df`` as Parquet under the shared checkpoint folder and continue from
+    there; what is observed on ``df`` is complete then."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df):
     """Write ``df`` to the shared checkpoint folder and continue from there.
 

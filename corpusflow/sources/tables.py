@@ -264,13 +264,15 @@ def seen_ids(labels: DataFrame) -> DataFrame:
 def worklist(docs: DataFrame) -> DataFrame:
     """Work list: one search per (source, lang) and the two sort listings."""
     searches = docs.select(F.concat(F.col("source"), F.lit(":"), F.col("lang")).alias("label")).distinct()
-    return searches
+    listings = docs.sparkSession.createDataFrame([(x,) for x in K.SORT_LABELS], "label string")
+    return searches.unionByName(listings)
 
 
 def completed_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Labels finished in an earlier run: searches whose documents include a
-    toxic-labelled one."""
+    toxic-labelled one, and the first sort listing."""
     tox = labels.where(F.col("toxic") == 1).select("doc_id")
-    return docs.join(tox, "doc_id", "left_semi").select(
+    searches = docs.join(tox, "doc_id", "left_semi").select(
         F.concat(F.col("source"), F.lit(":"), F.col("lang")).alias("label")
     ).distinct()
+    return searches.unionByName(docs.sparkSession.createDataFrame([(K.SORT_LABELS[0],)], "label string"))

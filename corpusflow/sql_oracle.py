@@ -351,7 +351,7 @@ FROM benchmark"""
     s["chat_messages"] = f"""WITH {PASS}, {_route("pass")}
 SELECT ord, {_msgs(SYS, '"user"', 'text')} AS messages FROM chosen"""
     s["prompt_messages"] = f"""SELECT item_id, 'system:' || {SYS} || {SEP} || 'user:' || text AS messages FROM benchmark"""
-    s["chat_render"] = f"""WITH turns AS (
+    s["chat_render_hook"] = s["chat_render"] = f"""WITH turns AS (
   SELECT conv_id, turn, role, text FROM conversations
   UNION ALL
   SELECT conv_id, -1, 'system', {SYS} FROM conversations GROUP BY conv_id
@@ -373,8 +373,9 @@ SELECT c.id, c.post_id, p.title AS post_title
 FROM comments c JOIN posts p ON p.id = c.post_id
 WHERE p.num_comments >= {K.MIN_COMMENTS_GENERAL}"""
     s["worklist_anti"] = """SELECT DISTINCT source || ':' || lang AS label FROM documents
-EXCEPT
-SELECT DISTINCT source || ':' || lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)"""
+WHERE source || ':' || lang NOT IN
+  (SELECT source || ':' || lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))
+UNION ALL SELECT '__hot__'"""
     s["id_first_wins"] = """SELECT user_id, event_id, event_type FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1"""
     def collected_with(max_pages: int, min_comments: int) -> str:
@@ -397,6 +398,40 @@ collected AS (
     targeted = collected_with(K.MAX_PAGES_TARGETED, K.MIN_COMMENTS_TARGETED)
     s["collect_targeted"] = f"""WITH {targeted}
 SELECT id, type, q, page_no, pos, sub, title, post_title, '{K.TARGETED_SOURCE}' AS source FROM collected"""
+    s["stream_collect"] = f"WITH {collected} SELECT id, type, q, page_no, pos, sub, title, post_title, score FROM collected"
+    s["stream_walks"] = f"""WITH {LISTING},
+ended AS (
+  SELECT q, CASE WHEN q % 7 = 3 THEN 'empty' WHEN q % 5 = 0 THEN 'last_page' ELSE 'max_pages' END AS reason,
+         CASE WHEN q % 7 = 3 THEN 1 WHEN q % 5 = 0 THEN 2 ELSE {K.MAX_PAGES_GENERAL} - 1 END AS final
+  FROM walked GROUP BY q
+  HAVING q % 7 = 3 OR (q % 5 = 0 AND count(*) = 3) OR count(*) = {K.MAX_PAGES_GENERAL}
+)
+SELECT 'nba:query ' || q AS label, reason,
+       CAST(max(CASE WHEN q % 6 = 1 AND p = 0 THEN 2 ELSE (q + p) % 3 END) AS BIGINT) AS run
+FROM (SELECT q, reason, unnest(range(0, final + 1)) AS p FROM ended) GROUP BY q, reason"""
+    s["append_replay"] = "SELECT doc_id, text FROM documents"
+    s["stream_bounded"] = """SELECT DISTINCT user_id, event_type, period FROM (
+  SELECT *, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 10 AS INTEGER) AS period FROM events)
+WHERE event_id % 97 <> 0 OR period > 1"""
+    s["id_counts"] = """SELECT run, CAST(sum(n) OVER (ORDER BY run) AS BIGINT) AS n_ids, TRUE AS within_bound FROM (
+  SELECT r.run, count(f.id) AS n FROM (SELECT unnest(range(4)) AS run) r
+  LEFT JOIN (SELECT doc_id // 6 AS id, min(doc_id % 4) AS run FROM documents GROUP BY 1) f ON f.run = r.run GROUP BY r.run)"""
+    s["item_offset_order"] = f"""WITH {ITEMS}
+SELECT id, row_number() OVER (ORDER BY ord) - 1 AS line, body FROM items WHERE id LIKE 'd%'"""
+    s["prompt_file"] = f"""SELECT item_id, 'system:' || {ustrip("(SELECT text FROM benchmark ORDER BY item_id LIMIT 1)")}
+  || {SEP} || 'user:' || text AS messages FROM benchmark"""
+    s["request_loop"] = f"""WITH {COMPLETIONS},
+per AS (SELECT c.batch, count(t.batch) AS n_takes FROM comp c LEFT JOIN takes t ON t.batch = c.batch GROUP BY c.batch),
+total AS (
+  SELECT batch, n_takes,
+         CAST(coalesce(sum(n_takes) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS n_before,
+         CAST(floor({uniform('topic', 'batch')} * (SELECT count(*) FROM benchmark)) AS BIGINT) AS idx
+  FROM per
+),
+topics AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS idx, text AS topic FROM benchmark)
+SELECT batch, topic, n_takes, n_before, least(n_takes, greatest(0, {K.SYNTHETIC_TARGET} - n_before)) AS n_used,
+       n_before < {K.SYNTHETIC_TARGET} AS asked
+FROM total LEFT JOIN topics USING (idx)"""
     s["distinct_ids"] = f"WITH {collected} SELECT count(DISTINCT id) AS n_ids FROM collected"
     s["collect_items"] = f"WITH {collected} SELECT id, type, q, page_no, pos, sub, title, post_title, score FROM collected"
     s["near_dup_pairs"] = f"WITH {DEDUP} SELECT rk_a, rk_b, inter, sz_a, sz_b FROM pairs"

@@ -11,6 +11,9 @@ landed and stops, like one run of the original.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,28 @@ from corpusflow import schemas as S
 from corpusflow.sources.readers import path_exists
 
 
+#: State on disk, so that its size is not bound by the executors' memory.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # many small stores: no preallocated log files
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+
+
+@contextmanager
+def state_settings(spark: SparkSession) -> Iterator[None]:
+    """The session with :data:`STATE`, for the streams started inside."""
+    old = {k: spark.conf.get(k, None) for k in STATE}
+    try:
+        for k, v in STATE.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def item_stream(spark: SparkSession, landing_dir: str, fmt: str = "json", schema=S.ITEM,
                 max_files_per_trigger: int | None = None, glob: str | None = None) -> DataFrame:
     """A stream over files landing in a folder (``glob`` filters names)."""
@@ -29,17 +54,19 @@ def item_stream(spark: SparkSession, landing_dir: str, fmt: str = "json", schema
     return reader.load(landing_dir)
 
 
-def new_ids_only(stream: DataFrame, id_col: str = "id", event_time: str | None = None,
+def new_ids_only(stream: DataFrame, id_col: str | list[str] = "id", event_time: str | None = None,
                  watermark: str | None = None) -> DataFrame:
     """Emit each id once across all runs.
 
     Without a watermark the state keeps every id ever seen (the original's
     behaviour).  With ``event_time`` and ``watermark`` the state is bounded:
-    duplicates are dropped while they arrive within the watermark delay.
+    duplicates are dropped while they arrive within the watermark delay, and
+    rows that arrive after it are dropped themselves.
     """
+    keys = [id_col] if isinstance(id_col, str) else id_col
     if event_time and watermark:
-        return stream.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark([id_col])
-    return stream.dropDuplicates([id_col])
+        return stream.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark(keys)
+    return stream.dropDuplicates(keys)
 
 
 def run_available(df: DataFrame, out_path: str, checkpoint: str, fmt: str = "parquet",
