@@ -35,5 +35,5 @@ def _level(df: DataFrame, name: str, span: int, fan: int) -> DataFrame:
     if span < fan:
         return grouped.withColumn(name, own).drop("_g")
     sums = grouped.groupBy("_g").agg(F.sum("_v").alias("_v")).withColumnRenamed("_g", "_o")
-    above = _level(sums, "_before", span // fan, fan).select(F.col("_o").alias("_g"), "_before")
-    return grouped.withColumn("_own", own).join(above, "_g").withColumn(name, F.col("_own") + F.col("_before")).drop("_g", "_own", "_before")
+    above = _level(sums, "_before", span // fan, fan).select(F.col("_o").alias("_g"), F.col("_before").alias("_above"))
+    return grouped.withColumn("_own", own).join(above, "_g").withColumn(name, F.col("_own") + F.col("_above")).drop("_g", "_own", "_above")

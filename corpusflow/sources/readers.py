@@ -176,5 +176,5 @@ def read_chat(spark: SparkSession, path: str, order: str | None = "line") -> Dat
 
 def read_prompt(spark: SparkSession, path: str) -> str:
     """A whole small text file, stripped; a scalar used as a literal."""
-    rows = spark.read.option("wholetext", "true").text(path).collect()
+    rows = spark.read.text(path, wholetext=True).collect()
     return rows[0][0].strip() if rows else ""
