@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from corpusflow import constants as K
 from corpusflow.functions.grams import common_grams, gram_histogram, histograms, packed_grams, part_names, token_names
 from corpusflow.functions.text import char_ngrams
-from corpusflow.session import ensure_checkpoint_dir, materialize, scratch_path
+from corpusflow.session import ensure_checkpoint_dir, materialize, scratch_path, written
 
 # ---------------------------------------------------------------------------
 # threshold helpers (integer form, no float or decimal literal differences)
@@ -150,7 +150,7 @@ def prefix_rows(low: DataFrame) -> DataFrame:
             if cols[0]:
                 yield _prefix_batch(cols)
 
-    return low.mapInArrow(run, "rk long, sz long, band int, up boolean, tok long, p long")
+    return low.select("rk", "low").mapInArrow(run, "rk long, sz long, band int, up boolean, tok long, p long")
 
 
 def _candidates(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -167,13 +167,13 @@ def _candidates(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def gram_histograms(low: DataFrame) -> DataFrame:
-    """``(rk, hist)``: the gram histogram of every text."""
+    """``(rk, low, hist)``: the texts with their gram histograms."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed = [gram_histogram(packed_grams(t.as_py())) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["rk", "hist"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed, pa.binary())], ["rk", "low", "hist"])
 
-    return low.select("rk", "low").mapInArrow(run, "rk long, hist binary")
+    return low.select("rk", "low").mapInArrow(run, "rk long, low string, hist binary")
 
 
 # rows whose histograms are held as numbers at a time
@@ -240,10 +240,9 @@ def near_dup_pairs(texts: DataFrame) -> DataFrame:
     ``texts`` has columns ``rk`` (unique long) and ``text``.
     Returns ``rk_a, rk_b, inter, sz_a, sz_b``.
     """
-    low = materialize(_lowered(texts))
+    low = written(gram_histograms(_lowered(texts)), "similar-texts")
     rows = materialize(prefix_rows(low))
-    hist = materialize(gram_histograms(low))
-    return materialize(_verified(materialize(possible(_candidates(rows, rows), hist)), low))
+    return materialize(_verified(possible(_candidates(rows, rows), low), low))
 
 
 def refined_rows(low: DataFrame, members: DataFrame, level: int) -> DataFrame:
@@ -274,7 +273,7 @@ def refined_rows(low: DataFrame, members: DataFrame, level: int) -> DataFrame:
             if cols[0]:
                 yield _prefix_batch(cols)
 
-    return members.join(low, "rk").mapInArrow(run, "rk long, sz long, band int, up boolean, tok long, p long")
+    return members.join(low.select("rk", "low"), "rk").mapInArrow(run, "rk long, sz long, band int, up boolean, tok long, p long")
 
 
 def _prefix_batch(cols: list[list[np.ndarray]]) -> pa.RecordBatch:
@@ -336,15 +335,14 @@ def first_wins_bounded(texts: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """
     spark = texts.sparkSession
     ensure_checkpoint_dir(spark)
-    low = materialize(_lowered(texts))
+    low = written(gram_histograms(_lowered(texts)), "first-wins-texts")
     prefix = materialize(prefix_rows(low))
-    hist = materialize(gram_histograms(low))
     und = materialize(prefix.select("rk").distinct())
     decided = scratch_path(spark, "first-wins")
     left, level, swept, refined = und.count(), 0, False, None
     while left:
         pu = materialize(prefix.join(und, "rk", "left_semi"))
-        large = materialize(pu.groupBy("band", "tok").agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > fanout).drop("_m"))
+        large = pu.groupBy("band", "tok").agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > fanout).drop("_m")
         some = not large.isEmpty()
         if some and swept:
             level += 1
@@ -358,7 +356,7 @@ def first_wins_bounded(texts: DataFrame, fanout: int = FANOUT) -> DataFrame:
         marked = materialize(pu.join(flags, ["rk", "band", "tok"], "left"))
         complete = marked.groupBy("rk").agg(F.bool_and(F.coalesce("lead", F.lit(False))).alias("all_lead")).where("all_lead").select("rk")
         pairs = _candidates(marked.where("lead").drop("lead"), marked.drop("lead"))
-        edges = _verified(materialize(possible(pairs, hist)), low).select(F.col("rk_a").alias("a"), F.col("rk_b").alias("b"))
+        edges = _verified(possible(pairs, low), low).select(F.col("rk_a").alias("a"), F.col("rk_b").alias("b"))
         _resolve_round(materialize(edges), materialize(complete), decided)
         und = materialize(und.join(spark.read.parquet(decided), "rk", "left_anti"))
         before, left = left, und.count()
