@@ -60,9 +60,47 @@ def folded(text: str) -> np.ndarray:
     return codes[int(len(codes) > 0 and codes[0] == 32): len(codes) - int(len(codes) > 1 and codes[-1] == 32)]
 
 
-def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
-    """Transitions of the suffix automaton of a symbol sequence: a table of
-    states by symbols, -1 where there is none; state 0 is the start."""
+class Transitions:
+    """(state, symbol) -> state in an open hash table a quarter full, so its size
+    follows the transitions there are, whatever the alphabet."""
+
+    def __init__(self, state: np.ndarray, symbol: np.ndarray, to: np.ndarray):
+        bits = max(4, (4 * len(to)).bit_length())
+        self.mask, self.shift = (1 << bits) - 1, np.uint64(64 - bits)
+        self.keys, self.to = np.full(1 << bits, -1, dtype=np.int64), np.full(1 << bits, -1, dtype=np.int32)
+        key = (state.astype(np.int64) << 21) | symbol
+        at, left = self._slot(key), np.arange(len(key))
+        while len(left):
+            free = self.keys[at[left]] < 0
+            _, one = np.unique(at[left][free], return_index=True)
+            put = left[free][one]  # of several for a slot, one
+            self.keys[at[put]], self.to[at[put]] = key[put], to[put]
+            left = left[self.keys[at[left]] != key[left]]
+            at[left] = (at[left] + 1) & self.mask
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The next states, -1 where there is no transition."""
+        key = (state.astype(np.int64) << 21) | symbol
+        at = self._slot(key)
+        got = self.keys[at]
+        out = np.where(got == key, self.to[at], np.int32(-1))
+        left = np.flatnonzero((got != key) & (got >= 0))
+        key, at, flat = key.ravel(), at.ravel(), out.ravel()
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            got = self.keys[at[left]]
+            hit = got == key[left]
+            flat[left[hit]] = self.to[at[left[hit]]]
+            left = left[~hit & (got >= 0)]
+        return flat.reshape(out.shape)
+
+
+def suffix_automaton(symbols: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Transitions of the suffix automaton of a symbol sequence (state, symbol,
+    next state) and the number of states; state 0 is the start."""
     nxt: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols:
@@ -88,11 +126,11 @@ def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.full((len(nxt), width), -1, dtype=np.int32)
-    for s, moves in enumerate(nxt):
-        for c, t in moves.items():
-            table[s, c] = t
-    return table
+    n = sum(map(len, nxt))
+    state = np.repeat(np.arange(len(nxt)), list(map(len, nxt)))
+    symbol = np.fromiter((c for moves in nxt for c in moves), dtype=np.int64, count=n)
+    to = np.fromiter((t for moves in nxt for t in moves.values()), dtype=np.int64, count=n)
+    return state, symbol, to, len(nxt)
 
 
 class CrossParser:
@@ -102,15 +140,20 @@ class CrossParser:
         self.langs = [lang for lang, _ in samples]
         texts = [np.concatenate([np.append(folded(t), 32) for t in own]) if own else np.zeros(0, np.int32) for _, own in samples]
         letters = np.unique(np.concatenate(texts)) if texts else np.zeros(0, np.int32)
-        self.width = len(letters) + 1  # 0: any other letter
-        self.symbol = np.zeros(_CODES, dtype=np.int32)
-        self.symbol[letters] = np.arange(1, self.width)
-        tables = [suffix_automaton(self.symbol[t].tolist(), self.width) for t in texts]
-        self.start = np.append(0, np.cumsum([len(t) for t in tables]))[:-1].astype(np.int32) if tables else np.zeros(0, np.int32)
-        # no transition: -1, for a phrase to end; the last state has none at all
-        tables = [np.where(t < 0, -1, t + s) for t, s in zip(tables, self.start)]
-        self.dead = sum(map(len, tables))
-        self.table = np.concatenate([*tables, np.full((1, self.width), -1)]).astype(np.int32).ravel()
+        self.symbol = np.zeros(_CODES, dtype=np.int32)  # 0: any other letter
+        self.symbol[letters] = np.arange(1, len(letters) + 1)
+        parts = [suffix_automaton(self.symbol[t].tolist()) for t in texts]
+        self.start = np.append(0, np.cumsum([n for *_, n in parts]))[:-1].astype(np.int32) if parts else np.zeros(0, np.int32)
+        self.dead = sum(n for *_, n in parts)  # a state without any transition
+        none = np.zeros(0, dtype=np.int64)
+        self.next = Transitions(
+            np.concatenate([none, *[s + b for (s, _, _, _), b in zip(parts, self.start)]]),
+            np.concatenate([none, *[c for _, c, _, _ in parts]]),
+            np.concatenate([none, *[t + b for (_, _, t, _), b in zip(parts, self.start)]]))
+        # where each symbol leads from each start
+        every = np.arange(len(letters) + 1)
+        first = self.next.find(np.repeat(self.start[:, None], len(every), axis=1), np.repeat(every[None, :], len(parts), axis=0))
+        self.first = np.where(first < 0, self.dead, first).astype(np.int32)
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text in each language (texts by languages)."""
@@ -130,21 +173,18 @@ class CrossParser:
         order = np.argsort(-length, kind="stable")
         owner, begin, length = owner[order], begin[order], length[order]
         running = np.searchsorted(-length, -np.arange(BLOCK), side="left")
-        root = np.repeat(self.start[:, None], len(owner), axis=1)
-        state = root.copy()
+        state = np.repeat(self.start[:, None], len(owner), axis=1)
         count = np.ones((n_lang, len(owner)), dtype=np.int32)
         for step in range(int(length[0])):
             live = int(running[step])
             c = flat[begin[:live] + step]
-            to = self.table.take(state[:, :live] * self.width + c)
+            to = self.next.find(state[:, :live], c)
             ended = to < 0
             if step:
                 count[:, :live] += ended
             # a new phrase starts with this character; one that the language
             # does not have is a phrase by itself
-            again = self.table.take(root[:, :live] * self.width + c)
-            again = np.where(again < 0, self.dead, again)
-            state[:, :live] = np.where(ended, again, to)
+            state[:, :live] = np.where(ended, self.first[:, c], to)
         for lang in range(n_lang):
             out[:, lang] = np.bincount(owner, weights=count[lang], minlength=len(texts)).astype(np.int64)
         return out

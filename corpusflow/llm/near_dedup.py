@@ -17,8 +17,10 @@ holds can be in no intersection, so the weight of such shingles bounds every
 similarity of its text.  Texts that the bound sets apart from all others leave;
 the rest are compared with the bucket's text of least such weight.  As one minus
 the weighted Jaccard similarity is a metric, two texts whose distances from that
-middle differ by more than 0.2 cannot be similar; what is left and still differs
-in class is compared across classes, each pair in the first band it shares.  So
+middle differ by more than 0.2 cannot be similar; and a histogram of the shingles'
+weights over hashed buckets bounds what two texts can have in common.  What is
+left and still differs in class is compared across classes, each pair in the
+first band it shares.  So
 every candidate pair of different texts in one bucket is in one class already,
 ruled out by an exact bound, or verified.  Classes are the connected components.
 
@@ -272,6 +274,30 @@ def _own_weight(texts: DataFrame, idf: np.ndarray) -> DataFrame:
     return alone.groupBy("rep").agg(F.sum(F.col("w").cast("double")).alias("u"))
 
 
+#: Buckets of a weight histogram: a fixed size, whatever the text.
+HISTOGRAM = 256
+
+
+def weight_histograms(texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(rep, hist): the weight of each text's shingles per hashed bucket, rounded
+    up.  Two texts have at most the sum of the smaller ones in common."""
+    sent = texts.sparkSession.sparkContext.broadcast(idf)  # a fixed table
+    kind = texts.schema["rep"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, end, block in blocks(batch.column("text")):
+                doc, gram, count = shingles(block)
+                at = doc * HISTOGRAM + (gram & U(HISTOGRAM - 1)).astype(np.int64)
+                hist = np.bincount(at, weights=count * sent.value[bucket(gram)].astype(np.float64), minlength=(end - row) * HISTOGRAM)
+                off = np.arange(0, (end - row + 1) * HISTOGRAM, HISTOGRAM, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("rep").slice(row, end - row),
+                     pa.ListArray.from_arrays(pa.array(off), pa.array(hist * (1 + _SLACK), pa.float32()))], ["rep", "hist"])
+
+    return texts.select("rep", "text").mapInArrow(run, f"rep {kind}, hist array<float>")
+
+
 def _mixed(placed: DataFrame) -> DataFrame:
     """Buckets whose texts lie in several classes."""
     return placed.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band", "key")
@@ -310,13 +336,17 @@ def _across(rest: DataFrame, reps: DataFrame, texts: DataFrame, idf: np.ndarray,
     free = stored(free.join(_mixed(free), ["band", "key"]), "near-free")
     if free.isEmpty():
         return more
-    one = free.select("band", "key", F.col("rep").alias("a"), F.col("w").alias("wa"), F.col("m").alias("ma"), F.col("d").alias("da"), "root", "bands")
-    two = free.select("band", "key", F.col("rep").alias("b"), F.col("w").alias("wb"), F.col("m").alias("mb"), F.col("d").alias("db"),
+    hist = weight_histograms(texts.join(free.select("rep").distinct(), "rep", "left_semi"), idf)
+    free = stored(free.join(hist, "rep"), "near-histograms")
+    one = free.select("band", "key", F.col("hist").alias("ha"), F.col("rep").alias("a"), F.col("w").alias("wa"), F.col("m").alias("ma"), F.col("d").alias("da"), "root", "bands")
+    two = free.select("band", "key", F.col("hist").alias("hb"), F.col("rep").alias("b"), F.col("w").alias("wb"), F.col("m").alias("mb"), F.col("d").alias("db"),
                       F.col("root").alias("root_b"), F.col("bands").alias("bands_b"))
     shared = F.zip_with("bands", "bands_b", lambda x, y: x == y)
+    common = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.least(x, y)), F.lit(0.0), lambda s, x: s + x)
     cross = one.join(two, (one["band"] == two["band"]) & (one["key"] == two["key"]) & (F.col("root") > F.col("root_b"))
                      & allowed("a", "b") & (F.abs(F.col("da") - F.col("db")) <= 1 - SIMILARITY + _SLACK)
-                     & (F.array_position(shared, True) == one["band"] + 1))
+                     & (F.array_position(shared, True) == one["band"] + 1)
+                     & (common >= part * (F.col("wa") + F.col("wb"))))
     cross = _bounded(cross).join(known.select("a", "b"), ["a", "b"], "left_anti")
     return more.unionByName(verified(cross, texts, idf))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,11 +19,18 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """``df`` written to the shared folder and read from there: the lineage ends
-    and a lost executor costs no earlier work."""
+    and a lost executor costs no earlier work.
+
+    Spark deletes the shuffle files behind a frame when the driver finds it
+    unreachable, which may be long after; ``release`` lets the driver look at
+    once, for the few frames with large shuffles behind them."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
+    if release:
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

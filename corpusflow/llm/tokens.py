@@ -218,10 +218,15 @@ def library_words(path: str) -> PieceTable:
     return _worker["words", path]
 
 
+#: Characters of a piece from which the tokenizers library encodes it.
+LONG_PIECE = 10_000
+
+
 def library_bytes(path: str, ranks: str, pattern: str) -> PieceTable:
     """The byte-level vocabulary.  Misses are encoded from the same vocabulary's
     rank file (equal ids, tested), by far the faster of the two libraries; a
-    piece that holds a special token's string goes to the tokenizers library."""
+    piece that holds a special token's string, or a long one, whose white space
+    the faster library cannot take in, goes to the tokenizers library."""
     if ("bytes", path) not in _worker:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
@@ -234,7 +239,7 @@ def library_bytes(path: str, ranks: str, pattern: str) -> PieceTable:
 
         def encode(pieces: list[str]) -> list[list[int]]:
             return [
-                tok.encode(p, add_special_tokens=False).ids if "<|" in p else fast.encode_ordinary(p) for p in pieces]
+                tok.encode(p, add_special_tokens=False).ids if "<|" in p or len(p) > LONG_PIECE else fast.encode_ordinary(p) for p in pieces]
 
         _worker["bytes", path] = PieceTable(encode)
     return _worker["bytes", path]

@@ -15,7 +15,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 U = np.uint64
 _MULT = 0x9E3779B97F4A7C15

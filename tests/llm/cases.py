@@ -10,6 +10,13 @@ SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, k
           "kept_id long, own_sha string, kept_sha string, digest string, sym long, h long, a long, b long, root long, n long")
 
 
+def alternating(bits):
+    """Two words of 2^bits letters, each the other's complement, of so much inner
+    symmetry that polynomial sums modulo 2^64 cannot tell them apart."""
+    parity = [bin(i).count("1") & 1 for i in range(1 << bits)]
+    return "".join("ab"[p] for p in parity), "".join("ba"[p] for p in parity)
+
+
 def prose(rng, n, words=WORDS):
     """Sentences of n words, hardly ever alike."""
     out = []

@@ -206,3 +206,22 @@ def test_every_operator_is_registered():
     names = list(entry.queries())
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def test_a_large_alphabet_needs_little_memory():
+    rng = random.Random(6)
+    script = [chr(c) for c in range(0x4E00, 0x4E00 + 6000)]
+    wide = "".join(rng.choice(script) for _ in range(40_000))
+    latin = cases.prose(rng, 6000)
+    parser = language_id.CrossParser([("la", [latin]), ("zh", [wide])])
+    size = parser.next.keys.nbytes + parser.next.to.nbytes + parser.first.nbytes + parser.symbol.nbytes
+    assert size < 100 << 20
+    texts = [language_id.folded(t) for t in (wide[100:900], latin[50:700], wide[30_000:30_500])]
+    assert parser.phrases(texts).argmin(axis=1).tolist() == [1, 0, 1]
+
+
+def test_quality_of_words_of_much_symmetry(spark):
+    a, b = cases.alternating(10)
+    rows = [(1, f"{a}\n{b}"), (2, f"{a}\n{a}"), (3, " ".join([a, b] * 20))]
+    got = sorted(tuple(r) for r in quality_rules.quality_rules(cases.frame(spark, rows)).collect())
+    assert got == [(i, *quality_brute(t)) for i, t in rows]

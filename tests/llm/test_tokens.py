@@ -205,3 +205,28 @@ def test_token_file_query(spark):
         want.append((i, at, len(ids), zlib.crc32(_u32(ids))))
         at += len(ids)
     assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got] == want
+
+
+def test_words_of_much_symmetry_and_long_white_space(spark):
+    """Words that a plain polynomial hash cannot tell apart; runs of white space
+    that one of the libraries cannot take in."""
+    (a, b), (c, d) = cases.alternating(10), cases.alternating(11)
+    texts = [f"{a} {b}", f"{b}\n{a}", f"{c} {d} {a}", b, d, " " * 1_200_000, "x\n" + "\n" * 1_200_000 + "y", "\t" * 300_000 + a]
+    word, byte = _library(WORD), _library(BYTE[0])
+    assert _all(word_bpe(WORD)[1], texts, word_pieces) == [word.encode(t, add_special_tokens=False).ids for t in texts]
+    assert _all(library_words(WORD), texts, word_pieces) == [word.encode(t, add_special_tokens=False).ids for t in texts]
+    assert _all(library_bytes(*BYTE), texts, gap_pieces) == [byte.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_span_hashes_tell_symmetric_words_apart():
+    from corpusflow.llm.words import blocks
+
+    words = [w for bits in range(8, 15) for w in cases.alternating(bits)]
+    seen = []
+    for filler in ("", "filler " * 800):  # at other places of a block, over other chunks
+        keys = []
+        for _, _, block in blocks(pa.array([filler + " ".join(words)])):
+            keys += block.word_hashes()[-len(words):].tolist()
+        assert len(set(keys)) == len(words)
+        seen.append(keys)
+    assert seen[0] == seen[1]
