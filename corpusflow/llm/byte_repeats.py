@@ -1,7 +1,9 @@
 """Exact repeated byte strings over all documents (operator 8).
 
-Sparse Burrows-Wheeler transforms of the shards (Spark's input tasks) are
-merged and read for repeated intervals.  A shard keeps a suffix only at its
+In the place of merging the shards' Burrows-Wheeler transforms by refining an
+interleave, which takes a pass per byte of common prefix, this sorts hashed
+symbols of sparse suffixes: there is no lexicographic order and no prefix length
+in bytes.  A shard (one of Spark's input tasks) keeps a suffix only at its
 anchors: the anchor of a start i is the smallest 8-byte gram (hashed, leftmost
 of ties) among the ``WINDOW`` grams from i, so equal strings have their anchor
 at the same place, and the starts of one anchor are consecutive.  As a repeat

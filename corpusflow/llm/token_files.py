@@ -4,8 +4,9 @@ A shard holds the ids of a run of whole documents, each closed by ``END_ID``,
 as 16 bit-planes: plane 0 is the highest bit of the ids in order, and each
 further plane follows the order that a stable split by the plane before it
 leaves (zeros first).  Ranks are kept per 4096 bits.  From one file
-one can read any token, count a token in any prefix, find its n-th occurrence,
-and read whole documents, without unpacking the other documents' ids.
+one can read any token, count a token in any prefix, find its n-th occurrence and
+read whole documents.  Opening a file unpacks its planes; the ids themselves are
+only rebuilt where they are asked for.
 
 File layout (little endian): magic ``CFWM1``, then zstandard frames with an
 index of (offset, length): header JSON, document identifiers, document
