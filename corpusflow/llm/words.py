@@ -8,6 +8,7 @@ byte masks, and the hash of any byte range from running polynomial sums.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -16,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
 
 U = np.uint64
 _MULT = 0x9E3779B97F4A7C15
@@ -142,6 +144,13 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[off[0]: off[-1]], off - off[0]
 
 
+def release() -> None:
+    """Return freed memory to the system: the workers of one stage serve the next."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def blocks(col: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int, Block]]:
     """(first row, end row, block) of a string column; rows are never cut."""
     data, off = utf8(col)
@@ -151,6 +160,7 @@ def blocks(col: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int, B
         end = min(max(end, row + 1), n)
         yield row, end, Block(data[off[row]: off[end]], off[row: end + 1] - off[row])
         row = end
+    release()
 
 
 @dataclass

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 
@@ -71,8 +72,48 @@ def test_exact_state_goes_on_in_later_runs(spark):
     again.add(spark.createDataFrame([(5, "")], "doc_id long, text string"))
     got = {(r.keep_id, r.group_size) for r in again.groups().collect()}
     assert got == {(3, 2), (2, 2), (5, 2)}
-    rids = [r.rid for r in again.landed().collect()]
-    assert len(rids) == len(set(rids)) == 6
+    places = [(r.file, r.row) for r in again.landed().collect()]
+    assert len(places) == len(set(places)) == 6
+
+
+@pytest.mark.parametrize("in_files", [False, True])
+def test_exact_hits_of_earlier_runs_are_checked_on_bytes(spark, in_files):
+    clash = lambda c: F.substring(c, 1, 1)  # noqa: E731 - the first letter: many texts share it
+    state = exact_dedup.DedupState(spark, new_folder(spark, "test-state"), clash)
+    runs = [[("a", "xa"), ("b", "y")], [("c", "xb"), ("d", "Y")], [("e", "XA"), ("f", "xb"), ("f", "xb"), (None, "z")], [("g", "Z")]]
+    for rows in runs:
+        docs = spark.createDataFrame(rows, "doc_id string, text string")
+        if in_files:
+            path = new_folder(spark, "test-rows")
+            docs.repartition(2).write.parquet(path)
+            docs = spark.read.parquet(path)
+        state.add(docs)
+    got = [(r.doc_id, r.keep_id, r.group_size) for r in state.decisions().collect()]
+    assert sorted(got, key=repr) == sorted([
+        ("a", "e", 2), ("e", "e", 2), ("c", "f", 3), ("f", "f", 3), ("f", "f", 3), ("b", "d", 2), ("d", "d", 2),
+        (None, "g", 2), ("g", "g", 2)], key=repr)
+    assert collections.Counter(r.keep_id for r in state.decisions().where("kept").collect()) == {"e": 1, "f": 1, "d": 1, "g": 1}
+    assert {r.digest for r in state.collided().collect()} == {"x"}
+    assert in_files != os.path.exists(state.path.removeprefix("file://") + "/content")
+
+
+def test_exact_locators_find_the_texts(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    state = exact_dedup.DedupState(spark, new_folder(spark, "test-state"))
+    state.add(docs)
+    found = state.fetch(state.landed())
+    wrong = found.where(exact_dedup.sha256(F.col("text")) != F.col("text_sha256")).count()
+    assert (found.count(), wrong) == (docs.count(), 0)
+
+
+def test_exact_dedup_of_string_identifiers(spark):
+    rows = cases.documents(repeated_ids=True)
+    named = [(None if i is None else f"id-{i:05d}", t) for i, t in rows]
+    docs = spark.createDataFrame(named, "doc_id string, text string").withColumn("_metadata", F.lit(1))
+    got = sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in exact_dedup.exact_dedup(docs).collect()), key=repr)
+    name = lambda i: None if i is None else f"id-{i:05d}"
+    assert got == sorted(((name(i), name(k), n, h) for i, k, n, h in exact_brute(rows)), key=repr)
+    assert exact_dedup.keep_exact(docs).count() == len({lower_ascii(t) for _, t in rows})
 
 
 # -- operator 8 -------------------------------------------------------------
