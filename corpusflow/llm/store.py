@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,19 +18,28 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+#: Spark's setting to delete the shuffle files of a query when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read from there: the lineage ends
     and a lost executor costs no earlier work.
 
-    Spark deletes the shuffle files behind a frame when the driver finds it
-    unreachable, which may be long after; ``release`` lets the driver look at
-    once, for the few frames with large shuffles behind them."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    if release:
-        gc.collect()
-        df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    The shuffle files behind it are of no use then, and Spark is told to delete
+    them as the write ends; by itself it would do so only once the driver happens
+    to collect its garbage."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fresh(df: DataFrame, name: str) -> str:
