@@ -1,6 +1,58 @@
-"""Tables in part files."""
+"""What larger tables need: sketches that lose no similar pair, tiles, tables in part files."""
+
+import random
+
+import numpy as np
+import pytest
 
 from corpusflow import queries as Q
+from corpusflow.functions import grams as G
+from corpusflow.operators import dedup as D
+from tests.test_dedup import alike_pairs, similarity, survivors
+
+
+def near_texts(seed, n):
+    rnd = random.Random(seed)
+    texts = []
+    for _ in range(n):
+        src = list(rnd.choice(texts) if texts and rnd.random() < 0.6 else "".join(rnd.choice("abcdefgh ") for _ in range(rnd.randint(3, 300))))
+        for _ in range(rnd.randint(0, 1 + len(src) // 15)):
+            src[rnd.randrange(len(src))] = rnd.choice("xyz")
+        texts.append("".join(src))
+    return list(dict.fromkeys(texts))
+
+
+def test_sketches_bound_the_difference():
+    texts = near_texts(4, 60)
+    names = [G.token_names(G.packed_grams(t)) for t in texts]
+    for bits in (64, 256, 1024):
+        words = G.sketch_words([G.parity_sketch(x, bits) for x in names], bits // 64)
+        assert (G.sketch_words([G.parity_sketch(x, 4 * bits) for x in names], bits // 64) == words).all()  # folded
+        for i in range(0, len(texts), 7):
+            for j in range(i):
+                differ = int(np.bitwise_count(words[:, i] ^ words[:, j]).sum())
+                assert differ <= len(np.setxor1d(names[i], names[j]))
+
+
+@pytest.mark.parametrize("tile", [1 << 14, 5])
+def test_tiles_lose_no_pair(spark, monkeypatch, tile):
+    monkeypatch.setattr(D, "TILE_ROWS", tile)
+    texts = near_texts(5, 120)
+    low = D.sketch_rows(spark.createDataFrame(list(enumerate(texts)), "rk long, low string"))
+    got = [(r.rk_a, r.rk_b) for r in D.close_pairs(low).collect()]
+    alike = alike_pairs(texts)
+    assert len(got) == len(set(got)) and alike <= set(got) and len(alike) > 30
+    assert all(similarity(texts[a], texts[b]) > 0.5 for a, b in got)  # and only close ones come
+
+
+def test_first_partners_and_the_note_that_there_are_more(spark):
+    texts = ["the quick brown fox jumps over the lazy dog and runs away again" + f" {i:03d}" for i in range(30)]
+    low = D.sketch_rows(spark.createDataFrame(list(enumerate(texts)), "rk long, low string"))
+    got = D.close_pairs(low, 3).collect()
+    assert {r.rk_b for r in got if r.rk_a is None} == set(range(4, 30))
+    assert {(r.rk_a, r.rk_b) for r in got if r.rk_a is not None} == {(a, b) for b in range(30) for a in range(min(b, 3))}
+    kept = D.kept_texts(spark.createDataFrame(list(enumerate(texts)), "ord long, text string"), fanout=2)
+    assert {r.text for r in kept.collect()} == survivors(texts)
 
 
 def test_streams_read_tables_in_part_files(spark, tmp_path):
