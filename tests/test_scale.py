@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from corpusflow import queries as Q
@@ -55,10 +56,14 @@ def test_first_partners_and_the_note_that_there_are_more(spark):
     assert {r.text for r in kept.collect()} == survivors(texts)
 
 
-def test_streams_read_tables_in_part_files(spark, tmp_path):
+@pytest.mark.parametrize("parts", [True, False])
+def test_streams_read_tables_as_a_file_or_in_part_files(spark, tmp_path, parts):
     docs = spark.createDataFrame([(i, f"s{i % 2}", "en") for i in range(8)], "doc_id long, source string, lang string")
-    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
-    assert sorted(r.label for r in Q.q_stream_completed(spark, str(tmp_path)).collect()) == ["s0:en", "s1:en"]
     events = spark.createDataFrame([(i % 5, i) for i in range(20)], "user_id long, event_id long")
-    events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    for name, df in (("documents", docs), ("events", events)):
+        if parts:
+            df.repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+        else:
+            pq.write_table(df.toArrow(), str(tmp_path / f"{name}.parquet"))
+    assert sorted(r.label for r in Q.q_stream_completed(spark, str(tmp_path)).collect()) == ["s0:en", "s1:en"]
     assert sorted(r.user_id for r in Q.q_stream_new_ids(spark, str(tmp_path)).collect()) == list(range(5))
