@@ -5,9 +5,11 @@ import random
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from corpusflow import queries as Q
 from corpusflow.functions import grams as G
+from corpusflow.functions.text import char_ngrams
 from corpusflow.operators import dedup as D
 from tests.test_dedup import alike_pairs, similarity, survivors
 
@@ -67,3 +69,13 @@ def test_streams_read_tables_as_a_file_or_in_part_files(spark, tmp_path, parts):
             pq.write_table(df.toArrow(), str(tmp_path / f"{name}.parquet"))
     assert sorted(r.label for r in Q.q_stream_completed(spark, str(tmp_path)).collect()) == ["s0:en", "s1:en"]
     assert sorted(r.user_id for r in Q.q_stream_new_ids(spark, str(tmp_path)).collect()) == list(range(5))
+
+
+def test_gram_sizes_without_lists_of_grams(spark):
+    texts = [None, "", "ab", "aBAb", "aaaa", "\U0001F600bc\U0001F600bc", "the cat, the hat"]
+    df = spark.createDataFrame(list(enumerate(texts)), "rk long, text string")
+    out = D.gram_sizes(df)
+    g = char_ngrams(F.col("text"))
+    exp = df.select("rk", F.size(g).alias("n_grams"), F.size(F.array_distinct(g)).alias("n_distinct"))
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, exp.collect())) and out.dtypes == exp.dtypes
+    assert "transform" not in out._jdf.queryExecution().optimizedPlan().toString()
