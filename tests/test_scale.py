@@ -11,6 +11,7 @@ from corpusflow import queries as Q
 from corpusflow.functions import grams as G
 from corpusflow.functions.text import char_ngrams
 from corpusflow.operators import dedup as D
+from tests.conftest import SF_SMALL
 from tests.test_dedup import alike_pairs, similarity, survivors
 
 
@@ -79,3 +80,10 @@ def test_gram_sizes_without_lists_of_grams(spark):
     exp = df.select("rk", F.size(g).alias("n_grams"), F.size(F.array_distinct(g)).alias("n_distinct"))
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, exp.collect())) and out.dtypes == exp.dtypes
     assert "transform" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_landed_pages_are_built_once(spark, monkeypatch):
+    plans, real = [], Q._land_pages
+    monkeypatch.setattr(Q, "_land_pages", lambda pages, *a: (plans.append(pages._jdf.queryExecution().optimizedPlan().toString()), real(pages, *a)))
+    assert not Q.q_stream_collect(spark, SF_SMALL).isEmpty()
+    assert len(plans) == 3 and not any("Aggregate" in p for p in plans)
