@@ -10,6 +10,7 @@ it holds never changes a result.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ class PieceTable:
         raw = block.data.tobytes()
         got = self.encode([raw[s:e].decode("utf-8", "replace") for s, e in zip(start.tolist(), end.tolist())])
         size = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
-        flat = np.fromiter((i for ids in got for i in ids), dtype=np.uint16, count=int(size.sum()))
+        flat = np.fromiter(chain.from_iterable(got), dtype=np.uint16, count=int(size.sum()))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.used: self.used + len(flat)] = flat

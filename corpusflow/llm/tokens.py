@@ -180,9 +180,18 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         + (", ids array<int>, decoded string" if full else ""))
 
 
+#: Letters that NFC leaves alone and whose lower case is one of them, and the
+#: ASCII marks that begin no contraction and no special token.
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_plain = re.compile(f"[{_LATIN}!-&(-;=-~]+")
+_plain_words = re.compile(f"[{_LATIN}]+|[0-9]|[!-&(-/:;=-@\\[-`{{-~]+")
+
+
 def library_words(path: str) -> PieceTable:
-    """The tokenizers library over a word-end vocabulary: many pieces per call,
-    told apart by a special token that no piece holds."""
+    """The tokenizers library over a word-end vocabulary.  Pieces of Latin letters,
+    digits and ASCII marks are split as the file's pattern splits them, and the
+    library's model encodes each word; other pieces go through the whole library,
+    many per call, told apart by a special token that no piece holds."""
     if ("words", path) not in _worker:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -192,12 +201,17 @@ def library_words(path: str) -> PieceTable:
         tok.no_padding()
         mark = "<|endoftext|>"
         mark_id = tok.token_to_id(mark)
+        model, letters = tok.model, byte_letters()
+        spelled = {c: "".join(letters[b] for b in chr(c).encode("utf-8")) for c in range(0x80, 0x100)}
 
         def encode(pieces: list[str]) -> list[list[int]]:
             out: list[list[int] | None] = [None] * len(pieces)
             plain = []
             for i, p in enumerate(pieces):
-                if "<|" in p:
+                if _plain.fullmatch(p):
+                    low = p.lower()
+                    out[i] = [t.id for word in _plain_words.findall(low) for t in model.tokenize(word if word.isascii() else word.translate(spelled))]
+                elif "<|" in p:
                     out[i] = tok.encode(p, add_special_tokens=False).ids
                 else:
                     plain.append(i)

@@ -53,6 +53,18 @@ def test_encoders_agree_with_the_library_on_random_characters():
     assert _all(library_bytes(*BYTE), texts, gap_pieces) == [byte.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_latin_words_are_encoded_by_the_model_alone(monkeypatch):
+    from corpusflow.llm import tokens
+
+    monkeypatch.setattr(tokens, "_worker", {})
+    rnd, tok = random.Random(11), _library(WORD)
+    letters = "abcXYZ0189.,;:!?$#*%&|<>@[]\\^_`{}~()+-/='\"\u00c0\u00c9\u00df\u00f1\u00fc\u00d7\u00f7\u00ff\u00de\u00b5\u00aa\x7f\u0130\u0131\u017f\u212a\u0301"
+    pieces = ["".join(rnd.choices(letters, k=rnd.randint(1, 14))) for _ in range(3000)] + ["it's", "<|ENDOFTEXT|>", "a<|endoftext|>b", "don't."]
+    assert library_words(WORD).encode(pieces) == [tok.encode(p, add_special_tokens=False).ids for p in pieces]
+    # the whole library, with its normaliser and pattern, is only called for other pieces
+    assert tokens._plain.fullmatch("\u00dcber$$$,") and not any(map(tokens._plain.fullmatch, ("it's", "<|", "e\u0301", "a\u00d7")))
+
+
 def test_piece_tables_start_afresh_when_full(monkeypatch):
     from corpusflow.llm import piece_table
 
