@@ -324,6 +324,27 @@ def test_shared_runs_hold_every_verbatim_run():
             assert e - s + 1 >= 46 and sim >= 0.8 and sim == len(one & two) / len(one | two)
 
 
+def test_sent_shingles_are_short_and_tell_themselves_apart():
+    gram = np.random.default_rng(3).integers(0, 2**64, 1000, dtype=np.uint64)
+    gram[500:] = gram[:500]
+    raw = passages.packed(gram)
+    back = passages.unpacked(raw)
+    assert len(raw) == 6 * len(gram)
+    assert (back[500:] == back[:500]).all() and len(set(back.tolist())) == 500
+    assert len(passages.unpacked(passages.packed(gram[:0]))) == 0
+
+
+def test_stretches_are_sent_once_with_their_sides(spark):
+    from pyspark.sql import functions as F
+
+    docs = cases.frame(spark, [(1, " ".join(f"w{i}" for i in range(80)))])
+    side = lambda own, s: spark.createDataFrame([(1, s, s + 50)], "doc_id long, s int, e int").withColumn(
+        "own", F.lit(own)).withColumn("theirs", F.lit(not own))
+    spans = side(True, 0).unionByName(side(False, 0)).unionByName(side(False, 3)).unionByName(side(False, 3))
+    got = {(r.s, r.own, r.theirs, len(r.grams)) for r in passages._slices(docs, spans, "doc_id", "text").collect()}
+    assert got == {(0, True, True, 6 * 51), (3, False, True, 6 * 51)}
+
+
 def test_cut_passages_keeps_the_rest(spark):
     rng = random.Random(6)
     common = cases.prose(rng, 70)
