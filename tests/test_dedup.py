@@ -209,3 +209,17 @@ def test_candidates_are_selective(spark):
     n = texts.count()
     rows = D.prefix_rows(D._lowered(texts))
     assert D._candidates(rows, rows).count() < 0.1 * n * (n - 1) / 2
+
+
+def test_a_round_of_first_wins_takes_few_jobs(spark):
+    rows = [(k, f"text number {k} " + "abcdefghij klmnop " * 8 + str(k // 3) * 30) for k in range(40)]
+    texts = spark.createDataFrame(rows, "rk long, text string")
+    spark.sparkContext.setJobGroup("first-wins-jobs", "first-wins-jobs")
+    try:
+        got = sorted(r.rk for r in D.first_wins_bounded(texts).collect())
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    keep = survivors([text for _, text in rows])
+    assert {rows[k][1] for k in range(len(rows)) if k not in got} == {rows[k][1] if isinstance(k, int) else k for k in keep}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("first-wins-jobs"))
+    assert jobs < 48  # 53 when every step was persisted and checkpointed
