@@ -219,7 +219,7 @@ def test_a_round_of_first_wins_takes_few_jobs(spark):
         got = sorted(r.rk for r in D.first_wins_bounded(texts).collect())
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-    keep = survivors([text for _, text in rows])
-    assert {rows[k][1] for k in range(len(rows)) if k not in got} == {rows[k][1] if isinstance(k, int) else k for k in keep}
+        spark.sparkContext.setLocalProperty("spark.job.description", None)
+    assert {text for k, text in rows if k not in got} == survivors([text for _, text in rows])
     jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("first-wins-jobs"))
     assert jobs < 48  # 53 when every step was persisted and checkpointed
