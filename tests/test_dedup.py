@@ -223,3 +223,35 @@ def test_a_round_of_first_wins_takes_few_jobs(spark):
     assert {text for k, text in rows if k not in got} == survivors([text for _, text in rows])
     jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("first-wins-jobs"))
     assert jobs < 48  # 53 when every step was persisted and checkpointed
+
+
+def shifting(n, at=0):
+    """A text of ``n`` distinct letters whose first ``at`` are others."""
+    return "".join(chr((0x4E00 if k >= at else 0x5E00) + k) for k in range(n))
+
+
+@pytest.mark.parametrize("fanout,copies", [(2, 6), (1000, 20)])
+def test_a_text_meets_the_kept_ones_beyond_its_first_partners(spark, fanout, copies):
+    # the copies in the middle resemble the first text, which drops them; the last
+    # text resembles them and, beyond its first partners, the one kept before it
+    base, middle, far, last = shifting(200), shifting(200, 18), shifting(200, 54), shifting(200, 36)
+    texts = [base, *[middle + chr(0x6E00 + k) for k in range(copies)], far, last]
+    alike = alike_pairs(texts)
+    n = len(texts) - 1
+    assert {a for a, b in alike if b == n} == set(range(1, n)) and not [a for a, b in alike if b == n - 1]
+    assert survivors(texts) == {base, far}
+    out = D.dedup(frame(spark, texts), "text", "ord", fanout=fanout)
+    assert {r.text for r in out.collect()} == {base, far}
+
+
+def test_kept_and_undecided_partners_over_many_rounds(spark):
+    rnd = random.Random(17)
+    texts = []
+    for _ in range(90):  # texts around the threshold, alike in all ways
+        cut = rnd.sample(range(120), rnd.randint(0, 9))
+        text = list(shifting(120, rnd.choice([0, 8, 16, 24, 32])))
+        for k in cut:
+            text[k] = chr(0x7E00 + rnd.randrange(40))
+        texts.append("".join(text))
+    out = D.dedup(frame(spark, texts), "text", "ord", fanout=3)
+    assert {r.text for r in out.collect()} == survivors(texts)
