@@ -250,6 +250,35 @@ def test_a_passage_that_many_documents_share(spark):
         assert found[i] >= set(range(40 + i, 100 + i))
 
 
+def test_passages_whose_minima_may_all_lie_in_a_line_that_many_documents_hold(spark):
+    # 42 of a passage's 50 words are a line that others hold too; the first and the
+    # preceding holder share nothing else with it, one between them the whole passage
+    rng = random.Random(12)
+    new = lambda n: [f"w{rng.randrange(10 ** 9)}" for _ in range(n)]
+    line, tails, texts, sought = new(42), [new(8) for _ in range(24)], [], {}
+
+    def add(*parts):
+        texts.append(" ".join(new(20) + sum(parts, []) + new(20)))
+
+    def minima(words):
+        gram = grams_of([(0, " ".join(words))])[0].view(passages.U)
+        return [passages.sliding_minima(passages.mix(gram, 100 + fn))[0] for fn in range(passages.HASHES)]
+
+    for _ in range(4):
+        add(line)
+    for tail in tails:
+        add(line, tail)
+    for k, tail in enumerate(tails):
+        edited = line[: 5 + k] + new(1) + line[6 + k:]
+        if sum(x == y for x, y in zip(minima(line + tail), minima(edited + tail))) >= passages.AGREE:
+            sought[len(texts)] = set(range(20, 70))
+        add(edited, tail)
+        add(line)
+    found = covered(passages.passages(cases.frame(spark, list(enumerate(texts)))).collect())
+    lost = [k for k, words in sought.items() if not words <= found.get(k, set())]
+    assert not lost and len(sought) > 12
+
+
 @pytest.mark.parametrize("holders", [60, 600])
 def test_passages_made_half_of_a_line_that_many_documents_hold(spark, holders):
     rng = random.Random(13)
