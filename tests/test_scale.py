@@ -1,5 +1,6 @@
 """What larger tables need: sketches that lose no similar pair, tiles, tables in part files."""
 
+import os
 import random
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusflow import queries as Q
+from corpusflow import session
 from corpusflow.functions import grams as G
 from corpusflow.functions.text import char_ngrams
 from corpusflow.operators import dedup as D
@@ -88,3 +90,14 @@ def test_landed_pages_are_built_once(spark, monkeypatch):
     monkeypatch.setattr(Q.Collection, "run", lambda *a, **k: None)  # the landing alone
     Q.q_stream_collect(spark, SF_SMALL)
     assert len(plans) == 3 and not any("Aggregate" in p for p in plans)
+
+
+def test_landed_pages_are_not_kept_beside_what_landed(spark, tmp_path, monkeypatch):
+    paths = []
+    real = Q.scratch_path
+    for module in (Q, session):
+        monkeypatch.setattr(module, "scratch_path", lambda s, name: paths.append(real(s, name)) or paths[-1])
+    kept = []
+    monkeypatch.setattr(Q.Collection, "run", lambda self, number, *a, **k: kept.append([p for p in paths if "-pages-" in p and os.path.exists(p.removeprefix("file:"))]))
+    Q.q_stream_collect(spark, SF_SMALL)
+    assert sum("-pages-" in p for p in paths) == 2 and len(kept[0]) == 2 and kept[-1] == []
